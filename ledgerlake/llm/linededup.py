@@ -37,9 +37,11 @@ def _solid(lines: Column) -> Column:
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """key, pos, fingerprint and the line hashes around it, for each selected gram. docs: key struct, h array of hashes."""
-    grams = docs.where(F.size("h") >= gram + window - 1).withColumn("g", F.transform(F.sequence(F.lit(0), F.size("h") - gram), lambda i: F.struct(F.xxhash64(*(F.get("h", i + j) for j in range(gram))).alias("v"), (-i).alias("p"))))
-    picked = grams.withColumn("p", F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("g") - window), lambda i: F.array_min(F.slice("g", i + 1, window)))))
-    rows = picked.select("key", "h", F.explode("p").alias("p")).select("key", "h", (-F.col("p.p")).alias("pos"), F.col("p.v").alias("fingerprint"))
+    grams = docs.withColumn("g", F.when(F.size("h") >= gram + window - 1, F.transform(F.sequence(F.lit(0), F.size("h") - gram), lambda i: F.struct(F.xxhash64(*(F.get("h", i + j) for j in range(gram))).alias("v"), (-i).alias("p")))))
+    picked = grams.withColumn("p", F.when(F.col("g").isNotNull(), F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("g") - window), lambda i: F.array_min(F.slice("g", i + 1, window))))))
+    # explode_outer: for explode, Catalyst infers a filter on the array's size, pushes it to the scan and there spells
+    # the arrays out within each lambda, which makes their cost quadratic and worse.
+    rows = picked.select("key", "h", F.explode_outer("p").alias("p")).where("p is not null").select("key", "h", (-F.col("p.p")).alias("pos"), F.col("p.v").alias("fingerprint"))
     start = F.greatest(F.col("pos") - (window - 1), F.lit(0))
     return rows.select("key", "pos", "fingerprint", start.alias("start"), F.slice("h", start + 1, F.col("pos") + gram + window - 1 - start).alias("around"))
 
@@ -47,13 +49,13 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
 def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """key, start, stop (in lines that aren't blank) of each run to delete. docs: doc_id, text."""
     size = gram + window - 1
-    base = docs.select(F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("key"), F.transform(_solid(_lines(F.col("text"))), lambda x: x.h).alias("h")).where(F.size("h") >= size)
+    base = docs.select(F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("key"), F.transform(_solid(_lines(F.col("text"))), lambda x: x.h).alias("h"))
     marks = fingerprints(base, gram, window)
     place = F.struct("key", "pos")
     again = marks.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("fingerprint")
     near = marks.join(again, "fingerprint")
     shift = F.transform(F.sequence(F.lit(0), F.size("around") - size), lambda i: F.struct((F.col("start") + i).alias("start"), F.struct(*(F.xxhash64(F.lit(seed), *(F.get("around", i + j) for j in range(size))) for seed in (1, 2))).alias("run")))
-    runs = near.where(F.size("around") >= size).select("key", F.explode(shift).alias("r")).select("key", "r.start", F.col("r.run.col1").alias("run1"), F.col("r.run.col2").alias("run2"))
+    runs = near.where(F.size("around") >= size).select("key", F.explode_outer(shift).alias("r")).select("key", "r.start", F.col("r.run.col1").alias("run1"), F.col("r.run.col2").alias("run2"))
     first = runs.groupBy("run1", "run2").agg(F.min(F.struct("key", "start")).alias("low"), F.max(F.struct("key", "start")).alias("high")).where("low <> high").select("run1", "run2", "low")
     later = runs.join(first, ["run1", "run2"]).where(F.struct("key", "start") > F.col("low")).select("key", "start").distinct()
     from pyspark.sql import Window
