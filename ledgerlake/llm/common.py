@@ -59,6 +59,7 @@ class Scratch:
         for df in frames:
             fs, p = hadoop_fs(self.spark, df._scratch_path)
             fs.delete(p, True)
+        self.spark._jvm.System.gc()  # so that Spark's cleaner also removes shuffle files of jobs that are over
 
     def close(self) -> None:
         try:
