@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, licenses, linededup, packing, quality, substring
+from . import bpe, jaccard, licenses, linededup, packing, quality, substring
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sim = jaccard.Similarity(percent=90, words=3)
+    return jaccard.join_classes(table(spark, sf_dir, "documents"), sim).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 

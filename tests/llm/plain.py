@@ -65,3 +65,29 @@ def substring(data, window=13):
         kept = [x for j, x in enumerate(w) if j not in gone]
         out.append((i, len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
     return sorted(out, key=repr)
+
+
+def shingle_set(text, k):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def classes(data, percent, k):
+    """(doc_id, n_shingles, component_id)"""
+    sets = [shingle_set(t, k) for _, t in data]
+    up = list(range(len(data)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(data)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                up[root(i)] = root(j)
+    low = {}
+    for i, (d, _) in enumerate(data):
+        if d is not None:
+            low[root(i)] = min(low.get(root(i), d), d)
+    return sorted(((d, len(s), low.get(root(i)) if s else d) for i, ((d, _), s) in enumerate(zip(data, sets))), key=repr)
