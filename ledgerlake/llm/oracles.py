@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .licenses import TEMPLATES
 from .linededup import BLANKS, GRAM, WINDOW
+from . import warc
 
 _TRIM = "regexp_replace(line, '^[ \\t\\r\\x0b\\x0c]+|[ \\t\\r\\x0b\\x0c]+$', '', 'g')"
 
@@ -42,5 +43,32 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(s.n_base
 FROM docs d LEFT JOIN summed s USING (doc_id)"""
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _warc() -> str:
+    def clean(x: str) -> str:
+        for name, is_ in warc.ENTITIES:
+            x = f"replace({x}, {_quoted(name)}, {_quoted(is_)})"
+        x = f"regexp_replace({x}, '[ \\t\\r\\f\\x0b]+', ' ', 'g')"
+        return f"regexp_replace(regexp_replace({x}, '\\s*\\n\\s*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+    def cut(x: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({x}, {_quoted(pattern)}, {by}, 'g')"
+
+    uid = lambda seed: f"(SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' FROM (SELECT sha256({seed}) AS h))"
+    first = lambda pattern: f"regexp_extract(payload, {_quoted(pattern)}, 1)"
+    text = clean(cut(cut(cut("payload", warc.HIDDEN, "''"), warc.BLOCK, "chr(10)"), warc.TAG, "''"))
+    title = f"replace({clean(cut(first(warc.TITLE), warc.TAG, chr(39) * 2))}, chr(10), ' ')"
+    nl = "chr(13) || chr(10)"
+    return f"""
+WITH r AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
+s AS (SELECT *, {uid("'response ' || coalesce(CAST(page_id AS VARCHAR), '') || ' ' || target_uri")} AS refers_to, 'sha256:' || sha256(payload) AS source_payload_digest FROM r),
+d AS (SELECT page_id, target_uri, refers_to, source_payload_digest, 'conversion' AS record_type, 'text/plain; charset=utf-8' AS content_type, {text} AS block FROM s
+UNION ALL SELECT page_id, target_uri, refers_to, source_payload_digest, 'metadata', 'application/warc-fields', 'title: ' || {title} || {nl} || 'http-status: 200' || {nl} || 'http-content-type: text/html; charset=utf-8' || {nl} || 'language: ' || lower({first(warc.LANG)}) || {nl} || 'charset: ' || lower({first(warc.CHARSET)}) || {nl} || 'outlinks: ' || len(regexp_extract_all(payload, {_quoted(warc.LINK)})) || {nl} || 'source-length: ' || strlen(payload) || {nl} || 'source-payload-digest: ' || source_payload_digest || {nl} FROM s)
+SELECT page_id, record_type, {uid("record_type || ' ' || refers_to")} AS record_id, refers_to, target_uri, '{warc.DATE}' AS date, source_payload_digest, content_type, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": _line_dedup(), "op10_license_scan": _license_scan()}
+    return {"op1_warc_derivatives": _warc(), "op9_line_dedup": _line_dedup(), "op10_license_scan": _license_scan()}

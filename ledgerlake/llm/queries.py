@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, licenses, linededup, packing, quality, substring
-from .common import table
+from . import bpe, compaction, fingerprints, jaccard, licenses, linededup, packing, quality, substring, warc
+from .common import Scratch, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,6 +16,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), ("page_id",))
+    return made.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "source_payload_digest", "content_type", "block_digest", "content_length")
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -34,6 +39,23 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+#: Arrivals that the documents are appended in.
+ARRIVALS = 16
+
+
+def op7_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = compaction.ShardStore(spark, Scratch(spark, "shards").path("store"))
+    arrival = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(ARRIVALS)).cast("int")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars", arrival.alias("arrival"))
+    store.append(docs, arrival)
+    version = store.compact()
+    return store.read_placed(version).select("doc_id", "arrival", "shard", F.lit(version).alias("version"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
