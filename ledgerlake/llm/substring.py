@@ -106,21 +106,28 @@ def _mark_rows(scanned: DataFrame) -> DataFrame:
     return scanned.where("n_words > 0").select("d1", "marks").mapInArrow(run, "key long, owner long, place long")
 
 
-def _with_digest(docs: DataFrame) -> DataFrame:
+def _with_digest(docs: DataFrame, carry: str) -> DataFrame:
     def run(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch:
         d1, d2 = _digests(words(text))
-        return pa.RecordBatch.from_arrays([part.column(0), text, pa.array(d1), pa.array(d2)], names=["doc_id", "text", "d1", "d2"])
+        more = [part.column(2)] if carry else []
+        return pa.RecordBatch.from_arrays([part.column(0), text, pa.array(d1), pa.array(d2), *more], names=["doc_id", "text", "d1", "d2", *(["carried"] if carry else [])])
 
-    return docs.mapInArrow(over_chunks(run), "doc_id long, text string, d1 long, d2 long")
+    return docs.mapInArrow(over_chunks(run), "doc_id long, text string, d1 long, d2 long" + (f", carried {carry}" if carry else ""))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by a space), text (without the removed words; the
-    rest as it was) and spans (first word and how many, of each removed stretch)."""
+    rest as it was) and spans (first word and how many, of each removed stretch). carry: further columns, which come back
+    as fields of the struct `carried`."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kind = ""
+    with_more = own
+    if carry:
+        with_more = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*carry).alias("carried"))
+        kind = with_more.schema["carried"].dataType.simpleString()
     scanned = scratch.save(_scan(own, window), "scan")
 
     # level 1: smallest half-length names that several texts hold
@@ -132,7 +139,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     scratch.drop(scanned)
 
     # level 2: full names of the windows that survived, in the text that stands for its copies
-    dealt = _with_digest(own)  # its exchange serves both joins; AQE splits the partition of a much copied text
+    dealt = _with_digest(with_more, kind)  # its exchange serves both joins; AQE splits the partition of a much copied text
     todo = texts.join(alive, "d1")
 
     def extend(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch | None:
@@ -191,6 +198,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         span = pa.list_(pa.struct([("word", pa.int32()), ("n", pa.int32())]))
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sums), pa.array(kept_texts, pa.string()), pa.array(spans, span)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text", "spans"])
 
-    joined = dealt.join(cuts, ["d1", "d2"]).select("doc_id", "text", (F.col("doc_id") > F.col("lowest")).alias("copy"), "starts")
-    out = joined.mapInArrow(over_chunks(cut), "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, spans array<struct<word:int,n:int>>")
+    def cut_and_carry(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch:
+        out = cut(part, text)
+        return pa.RecordBatch.from_arrays([*out.columns, part.column(4)], names=[*out.schema.names, "carried"]) if carry else out
+
+    more = ["carried"] if carry else []
+    joined = dealt.join(cuts, ["d1", "d2"]).select("doc_id", "text", (F.col("doc_id") > F.col("lowest")).alias("copy"), "starts", *more)
+    out = joined.mapInArrow(over_chunks(cut_and_carry), "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, spans array<struct<word:int,n:int>>" + (f", carried {kind}" if carry else ""))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
+
+
+def dedup_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents with repeated words gone, and n_chars as it is now. A text that lost all its words goes with them: all of it stands elsewhere."""
+    names = docs.columns
+    carry = [c for c in names if c not in ("doc_id", "text")]
+    out = remove_repeats(docs, window, carry).where("n_removed = 0 or n_removed < n_words")
+    made = {c: F.col("carried")[c] for c in carry} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in made:
+        made["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(made["n_chars"])
+    return out.select(*(made[c].alias(c) for c in names))
