@@ -160,6 +160,13 @@ class ByteBpe:
         for rank, pair in enumerate(told["model"]["merges"]):
             a, b = (bytes(byte_of[c] for c in x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        keys = np.array([x << 32 | y for x, y in self.merges], np.int64)
+        order = np.argsort(keys)
+        ranks = np.array([r for r, _ in self.merges.values()], np.int32)
+        self.no_rank = int(ranks.max()) + 1
+        self.pair_keys, self.pair_ranks = keys[order], ranks[order]
+        self.made = np.zeros(self.no_rank + 1, np.int32)
+        self.made[ranks] = [new for _, new in self.merges.values()]
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one piece: the pair that comes first in the merge list is merged, leftmost first, until none is left."""
@@ -182,6 +189,53 @@ class ByteBpe:
             if at < len(pairs):
                 pairs[at] = get((ids[at], ids[at + 1]))
 
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """merge() of many words at once: in each step every word merges its first best pair."""
+        out: list[list[int]] = [[]] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        single = np.array(self.single, np.int32)
+        for low, high in ((0, 8), (8, 16), (16, 32), (32, 64)):
+            at = np.flatnonzero((size > low) & (size <= high))
+            if not len(at):
+                continue
+            n = size[at].copy()
+            ids = np.full((len(at), high + 1), -1, np.int32)
+            ids[:, :high][np.arange(high) < n[:, None]] = single[np.frombuffer(b"".join(words[i] for i in at.tolist()), np.uint8)]
+            rank = self._ranks(ids[:, :-1], ids[:, 1:])
+            live = np.arange(len(at))
+            while len(live):
+                own = rank[live]
+                best = own.argmin(axis=1)
+                found = own[np.arange(len(live)), best]
+                more = found < self.no_rank
+                live, best, found = live[more], best[more], found[more]
+                if not len(live):
+                    break
+                # the pair's second symbol goes; what follows moves up
+                take = np.arange(high) + (np.arange(high) > best[:, None])
+                moved = np.full((len(live), high + 1), -1, np.int32)
+                moved[:, :high] = np.take_along_axis(ids[live], take, axis=1)
+                moved[np.arange(len(live)), best] = self.made[found]
+                ids[live] = moved
+                n[live] -= 1
+                ranks = np.full((len(live), high), self.no_rank, np.int32)
+                ranks[:, : high - 1] = np.take_along_axis(rank[live], take[:, : high - 1], axis=1)
+                rows = np.arange(len(live))
+                ranks[rows, best] = self._ranks(moved[rows, best], moved[rows, best + 1])
+                left = best > 0
+                ranks[rows[left], best[left] - 1] = self._ranks(moved[rows[left], best[left] - 1], moved[rows[left], best[left]])
+                rank[live] = ranks
+            for i, row, k in zip(at.tolist(), ids.tolist(), n.tolist()):
+                out[i] = row[:k]
+        for i in np.flatnonzero(size > 64).tolist():
+            out[i] = self.merge(words[i])
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 32 | (b.astype(np.int64) & 0xFFFFFFFF)
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (b >= 0), self.pair_ranks[at], self.no_rank).astype(np.int32)
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and links, in n log n steps."""
         import heapq
@@ -250,32 +304,41 @@ class Encoder:
 
     def __init__(self, bpe: ByteBpe, lexicon: Lexicon | None):
         self.bpe, self.lexicon = bpe, lexicon
-        self.merged: dict[bytes, list[int]] = {}
+        self.merged: dict[str, tuple[str, int, bytes, list[int]]] = {}
+        self.by_rank: dict[int, tuple[str, int, bytes, list[int]]] = {}
+        self.digits = {i: str(i) for i in bpe.bytes_of}
+
+    def _entry(self, ids: list[int]) -> tuple[str, int, bytes, list[int]]:
+        return ",".join(map(self.digits.__getitem__, ids)), len(ids), self.bpe.decode(ids), ids
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of each distinct word."""
+    def entries(self, words: Iterable[str]) -> dict[str, tuple[str, int, bytes, list[int]]]:
+        """For each distinct word its ids as text, their number, what they decode to, and the ids."""
         distinct = list(set(words))
         raw = [w.encode() for w in distinct]
         ranks = self.lexicon.ranks(raw).tolist() if self.lexicon else [-1] * len(raw)
         if len(self.merged) > self.MEMORY:
             self.merged.clear()
-        out = {}
+        out, unseen = {}, []
         for word, b, rank in zip(distinct, raw, ranks):
-            if word in self.bpe.special:
-                out[word] = [self.bpe.special[word]]
-            elif rank >= 0:
-                out[word] = self.lexicon.ids(rank)
+            if rank >= 0:
+                found = self.by_rank.get(rank)
+                if found is None:
+                    found = self.by_rank[rank] = self._entry(self.lexicon.ids(rank))
+                out[word] = found
+            elif word in self.bpe.special:
+                out[word] = self._entry([self.bpe.special[word]])
+            elif (found := self.merged.get(word)) is not None:
+                out[word] = found
             else:
-                ids = self.merged.get(b)
-                if ids is None:
-                    ids = self.merged[b] = self.bpe.merge(b)
-                out[word] = ids
+                unseen.append((word, b))
+        for (word, _), ids in zip(unseen, self.bpe.merge_all([b for _, b in unseen])):
+            out[word] = self.merged[word] = self._entry(ids)
         return out
 
     def encode(self, text: str) -> list[int]:
         words = self.bpe.words(text)
-        known = self.encode_words(words)
-        return [i for w in words for i in known[w]]
+        known = self.entries(words)
+        return [i for w in words for i in known[w][3]]
 
 
 # --- over tables
@@ -320,7 +383,8 @@ def build_lexicon(words: list[bytes], bpe: ByteBpe, limit: int = LEXICON_WORDS)
                 pieces.setdefault(raw)
         if len(pieces) >= limit:
             break
-    return compile_lexicon((p, bpe.merge(p)) for p in list(pieces)[:limit])
+    chosen = list(pieces)[:limit]
+    return compile_lexicon(zip(chosen, bpe.merge_all(chosen)))
 
 
 def share_file(spark: SparkSession, data: bytes, kind: str) -> str:
@@ -347,17 +411,15 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False, li
         bpe = _once(f"bpe:{tokenizer}", lambda: ByteBpe(tokenizer))
         encoder = _once(f"encoder:{tokenizer}:{name}", lambda: Encoder(bpe, Lexicon.open(SparkFiles.get(name))))
         pieces = [bpe.words(t) for t in text.to_pylist()]
-        known = encoder.encode_words([w for p in pieces for w in p])
-        said = {w: ",".join(map(str, ids)) for w, ids in known.items()}
-        length = {w: len(ids) for w, ids in known.items()}
-        back = {w: bpe.decode(ids) for w, ids in known.items()}
+        known = encoder.entries({w for p in pieces for w in p})
         n, sums, decoded, ids = [], [], [], []
         for p in pieces:
-            n.append(sum(map(length.__getitem__, p)))
-            sums.append(hashlib.sha256(",".join(map(said.__getitem__, p)).encode()).hexdigest())
-            decoded.append(hashlib.sha256(b"".join(map(back.__getitem__, p)).decode(errors="replace").encode()).hexdigest())
+            told, sizes, back, own = zip(*map(known.__getitem__, p)) if p else ((), (), (), ())
+            n.append(sum(sizes))
+            sums.append(hashlib.sha256(",".join(told).encode()).hexdigest())
+            decoded.append(hashlib.sha256(b"".join(back).decode(errors="replace").encode()).hexdigest())
             if with_ids:
-                ids.append([i for w in p for i in known[w]])
+                ids.append([i for x in own for i in x])
         columns = [part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
@@ -366,4 +428,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False, li
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(over_chunks(digest), shape)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(over_chunks(digest, limit=2 << 20), shape)

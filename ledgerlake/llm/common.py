@@ -91,12 +91,12 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
         a = b
 
 
-def over_chunks(f: Callable[[pa.RecordBatch, pa.StringArray], pa.RecordBatch | None], column: str = "text") -> Callable:
+def over_chunks(f: Callable[[pa.RecordBatch, pa.StringArray], pa.RecordBatch | None], column: str = "text", limit: int = CHUNK_BYTES) -> Callable:
     """A function for mapInArrow that applies f to each slice of bounded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, text in text_chunks(batch, column):
+            for part, text in text_chunks(batch, column, limit):
                 out = f(part, text)
                 if out is not None and out.num_rows:
                     yield out
