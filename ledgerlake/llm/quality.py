@@ -153,7 +153,8 @@ def select_cutoffs(counts: list[tuple[str, str, int, int, int, int]], risk: Risk
     out: dict[str, dict[str, float]] = {}
     for stratum in sorted(strata):
         for rule, (_, _, grid) in RULES.items():
-            over = lambda half, good, k: sum(n for level, n in seen[stratum, rule, half, good].items() if level > k)  # noqa: B023, E731
+            # a value that exceeds `level` cutoffs exceeds the strictest ones, which stand last
+            over = lambda half, good, k: sum(n for level, n in seen[stratum, rule, half, good].items() if level + k >= len(grid))  # noqa: B023, E731
             held = sum(seen[stratum, rule, 1, 1].values())
             best = (0.0, None)
             for k, cutoff in enumerate(grid):
