@@ -60,9 +60,17 @@ class ShardStore:
     def shards(self, version: int | None = None) -> list[dict]:
         return self.manifests.read(version).get("shards", [])
 
-    def _shard(self, folder: str, made: int) -> dict:
-        files = self.manifests.files(folder)
-        return {"folder": folder, "files": [f for f, _ in files], "bytes": sum(n for _, n in files), "merges": made}
+    def _shards(self, folders: list[str], made: int) -> list[dict]:
+        """Written folders as shards, without files that have no rows (one job counts them, from the footers)."""
+        files = {f: self.manifests.files(f) for f in folders}
+        every = [x for own in files.values() for x, _ in own]
+        told = self.spark.read.parquet(*every).groupBy(F.col("_metadata.file_name").alias("name"), F.element_at(F.split("_metadata.file_path", "/"), -2).alias("at")).count().collect() if every else []
+        rows = {(r["at"], r["name"]): r["count"] for r in told}
+        out = []
+        for folder, own in files.items():
+            full = [(f, n, k) for f, n in own if (k := rows.get(tuple(f.rsplit("/", 2)[1:]), 0))]
+            out.append({"folder": folder, "files": [f for f, _, _ in full], "bytes": sum(n for _, n, _ in full), "rows": sum(k for _, _, k in full), "merges": made})
+        return out
 
     def _publish(self, shards: list[dict], new: list[dict]) -> int:
         version = self.manifests.latest() + 1
@@ -84,8 +92,7 @@ class ShardStore:
             listed = self.manifests._fs.listStatus(self.manifests._path(folder))
             folders = sorted(s.getPath().toString() for s in listed if s.getPath().getName().startswith("_arrival="))
         version = self.manifests.latest()
-        for f in folders:
-            shard = self._shard(f, 0)
+        for shard in self._shards(folders, 0):
             if shard["files"]:
                 version = self._publish([*self.shards(), shard], [shard])
         return version
@@ -101,7 +108,9 @@ class ShardStore:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         rows = self.spark.read.parquet(*(f for s in old for f in s["files"]))
         rows.coalesce(max(1, round(size / self.tiers.target_bytes))).write.option("compression", "zstd").parquet(folder)
-        new = self._shard(folder, 1 + max(s["merges"] for s in old))
+        new = self._shards([folder], 1 + max(s["merges"] for s in old))[0]
+        if new["rows"] != sum(s["rows"] for s in old):
+            raise RuntimeError("a merge changed the number of rows")
         kept = [s for i, s in enumerate(shards) if i not in set(chosen)]
         # the merged shard stands where its oldest part stood
         kept.insert(chosen[0], new)
