@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import hadoop_fs, over_chunks, raw_texts, shared_dir
+from .common import Scratch, hadoop_fs, over_chunks, raw_texts, shared_dir
 
 #: Words in the lexicon at most, and bytes in one of them.
 LEXICON_WORDS, WORD_BYTES = 65_536, 48
@@ -368,9 +368,23 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent words; ties by byte order."""
-    rows = count_words(docs).where(F.octet_length("word") < WORD_BYTES).orderBy(F.desc("n"), "word").limit(limit).collect()
-    return [bytes(r.word) for r in rows]
+    """The most frequent words, `limit` at most, the most frequent first.
+
+    A histogram of the counts (to three digits, so of bounded size) gives the least count with which no more than `limit`
+    words are left; only those are collected. Words of one step of the histogram are taken or left together."""
+    scratch = Scratch(docs.sparkSession, "words")
+    counted = scratch.save(count_words(docs).where(F.octet_length("word") < WORD_BYTES), "counts")
+    unit = F.pow(F.lit(10), F.greatest(F.length(F.col("n").cast("string")) - 3, F.lit(0))).cast("long")
+    step = (F.col("n") - F.col("n") % unit).alias("step")
+    least, taken = None, 0
+    for r in sorted(counted.groupBy(step).count().collect(), reverse=True):
+        taken += r["count"]
+        if taken > limit:
+            break
+        least = r.step
+    rows = [] if least is None else counted.where(F.col("n") >= least).collect()
+    scratch.drop(counted)
+    return [bytes(r.word) for r in sorted(rows, key=lambda r: (-r.n, bytes(r.word)))]
 
 
 def build_lexicon(words: list[bytes], bpe: ByteBpe, limit: int = LEXICON_WORDS) -> bytes:

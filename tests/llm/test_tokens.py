@@ -68,6 +68,12 @@ def test_documents_encode_as_the_library(spark):
     assert bpe.encode_documents(df.limit(0), BYTE).collect() == []
 
 
+def test_frequent_words(spark):
+    df = spark.createDataFrame([(1, "a a a b b c"), (2, None), (3, "b a d\n"), (4, "e" * 60)], "doc_id long, text string")
+    assert bpe.frequent_words(df, 2) == [b"a", b"b"] and bpe.frequent_words(df, 3) == [b"a", b"b"]
+    assert bpe.frequent_words(df, 9) == [b"a", b"b", b"c", b"d"] and bpe.frequent_words(df, 0) == []
+
+
 def test_plan_is_gapless_and_tight():
     r = random.Random(3)
     for size in (7, 64, 2048):
