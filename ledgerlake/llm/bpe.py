@@ -139,38 +139,24 @@ class Lexicon:
 # --- the merges
 
 
-class ByteBpe:
-    """The vocabulary and merges of a byte-level BPE tokenizer file."""
+class Merges:
+    """Pair merges over bytes: the symbol of each byte, of a last byte, and for each pair its rank and what it becomes."""
 
-    def __init__(self, path: str):
-        import regex
-
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        byte_of = {c: b for b, c in _byte_letters().items()}
-        self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
-        self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).split if self.special else None
-        self.find = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).findall if self.special else None
-        #: How byte-level tokenizers split a text (fixed value).
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        vocab = {bytes(byte_of[c] for c in t): i for t, i in told["model"]["vocab"].items() if t not in self.special}
-        self.bytes_of = {i: b for b, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.single = [vocab[bytes([b])] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(told["model"]["merges"]):
-            a, b = (bytes(byte_of[c] for c in x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        keys = np.array([x << 32 | y for x, y in self.merges], np.int64)
+    def __init__(self, single: list[int], last: list[int], merges: dict[tuple[int, int], tuple[int, int]]):
+        self.single, self.last, self.merges = single, last, merges
+        keys = np.array([x << 32 | y for x, y in merges], np.int64)
         order = np.argsort(keys)
-        ranks = np.array([r for r, _ in self.merges.values()], np.int32)
+        ranks = np.array([r for r, _ in merges.values()], np.int32)
         self.no_rank = int(ranks.max()) + 1
         self.pair_keys, self.pair_ranks = keys[order], ranks[order]
         self.made = np.zeros(self.no_rank + 1, np.int32)
-        self.made[ranks] = [new for _, new in self.merges.values()]
+        self.made[ranks] = [new for _, new in merges.values()]
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one piece: the pair that comes first in the merge list is merged, leftmost first, until none is left."""
         ids = [self.single[b] for b in word]
+        if ids:
+            ids[-1] = self.last[word[-1]]
         if len(ids) > 256:
             return self._merge_long(ids)
         get = self.merges.get
@@ -193,14 +179,16 @@ class ByteBpe:
         """merge() of many words at once: in each step every word merges its first best pair."""
         out: list[list[int]] = [[]] * len(words)
         size = np.fromiter(map(len, words), np.int64, len(words))
-        single = np.array(self.single, np.int32)
+        single, last = np.array(self.single, np.int32), np.array(self.last, np.int32)
         for low, high in ((0, 8), (8, 16), (16, 32), (32, 64)):
             at = np.flatnonzero((size > low) & (size <= high))
             if not len(at):
                 continue
             n = size[at].copy()
             ids = np.full((len(at), high + 1), -1, np.int32)
-            ids[:, :high][np.arange(high) < n[:, None]] = single[np.frombuffer(b"".join(words[i] for i in at.tolist()), np.uint8)]
+            data = np.frombuffer(b"".join(words[i] for i in at.tolist()), np.uint8)
+            ids[:, :high][np.arange(high) < n[:, None]] = single[data]
+            ids[np.arange(len(at)), n - 1] = last[data[np.cumsum(n) - 1]]
             rank = self._ranks(ids[:, :-1], ids[:, 1:])
             live = np.arange(len(at))
             while len(live):
@@ -260,6 +248,29 @@ class ByteBpe:
                     heapq.heappush(heap, (m[0], x, m[1], ids[x], ids[y]))
         return [x for x, out in zip(ids, gone) if not out]
 
+class ByteBpe(Merges):
+    """The vocabulary and merges of a byte-level BPE tokenizer file."""
+
+    def __init__(self, path: str):
+        import regex
+
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        byte_of = {c: b for b, c in _byte_letters().items()}
+        self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
+        self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).split if self.special else None
+        self.find = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).findall if self.special else None
+        #: How byte-level tokenizers split a text (fixed value).
+        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        vocab = {bytes(byte_of[c] for c in t): i for t, i in told["model"]["vocab"].items() if t not in self.special}
+        self.bytes_of = {i: b for b, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
+        merges: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, pair in enumerate(told["model"]["merges"]):
+            a, b = (bytes(byte_of[c] for c in x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
+            merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        single = [vocab[bytes([b])] for b in range(256)]
+        super().__init__(single, single, merges)
+
     def words(self, text: str) -> list[str]:
         """The pieces of a text in order; a special token is a piece of its own."""
         if not self.special or not any(s in text for s in self.special):
@@ -276,6 +287,22 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class WordBpe(Merges):
+    """The same for a tokenizer file whose words end in a marked symbol."""
+
+    END = "</w>"
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, letter = model["vocab"], _byte_letters()
+        merges: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, pair in enumerate(model["merges"]):
+            a, b = pair if isinstance(pair, list) else pair.split(" ")
+            merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        super().__init__([vocab[letter[b]] for b in range(256)], [vocab[letter[b] + self.END] for b in range(256)], merges)
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in vocabularies: printable bytes for themselves, the others from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

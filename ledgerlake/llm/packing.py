@@ -18,17 +18,16 @@ import os
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import _once
+from .bpe import WordBpe, _once
 from .common import Scratch, over_chunks, raw_texts
 
 SEQUENCE, END_ID = 2048, 0
-#: Pieces of a length that one task numbers, about.
-PER_SALT = 500_000
 
 
 @dataclass(frozen=True)
@@ -78,49 +77,89 @@ def plan(histogram: dict[int, int], size: int = SEQUENCE) -> list[Run]:
     return runs
 
 
+class _Numbers(dict):
+    """Numbers its keys as they come; `fresh` has those that came last."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+
 class WordEncoder:
-    """Token ids of many texts at once for a tokenizer that never joins across ASCII white space: words are encoded once."""
+    """Token ids of many texts at once for a tokenizer that never joins across ASCII white space: words are encoded once.
+
+    Words of plain Latin letters, digits and signs are split and merged here, many at a time; all others, and those that
+    may hold a special token, go through the tokenizers library."""
 
-    #: Distinct words that a worker remembers.
-    MEMORY = 300_000
+    #: Distinct words, and pieces of words, that a worker remembers.
+    MEMORY, PIECES = 1_000_000, 200_000
+    #: How this tokenizer splits lower-cased text, and words that normalisation leaves alone but for case (fixed values).
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    PLAIN = r"[!-~\u00c0-\u00ff]+"
+    LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,!?;:|]?"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merges = WordBpe(path)
+        self.split, self.plain = regex.compile(self.SPLIT).findall, regex.compile(self.PLAIN).fullmatch
+        self.letters = regex.compile(self.LETTERS).fullmatch
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        self.index = _Numbers()
+        self.known: dict[str, list[int]] = {}
         self.pool = np.zeros(0, np.uint32)
         self.sizes = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
 
+    def _parts(self, text: str) -> list[str] | None:
+        """How a plain word is split; None for words that the library is to encode."""
+        if self.letters(text):  # letters, perhaps with one sign after them
+            return [text.lower()] if text[-1].isalpha() else [text[:-1].lower(), text[-1]]
+        return self.split(text.lower()) if self.plain(text) and "<|" not in text else None
+
+    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
+        if len(self.known) > self.PIECES:
+            self.known.clear()
+        known = self.known
+        texts = [w.decode() for w in words]
+        parts = list(map(self._parts, texts))
+        new = list({p for ps in parts if ps for p in ps} - known.keys())
+        known.update(zip(new, self.merges.merge_all([p.encode() for p in new])))
+        odd = [i for i, ps in enumerate(parts) if ps is None]
+        out = [[] if ps is None else known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] if len(ps) == 2 else [x for p in ps for x in known[p]] for ps in parts]
+        for i, e in zip(odd, self.tokenizer.encode_batch([texts[i] for i in odd], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
     def encode(self, texts: Iterable[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
-        words = [t.split() for t in texts]
         if len(self.index) > self.MEMORY:
             self._clear()
-        fresh = list({w for ws in words for w in ws} - self.index.keys())
-        if fresh:
-            got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)]
-            self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
+        words = [t.split() for t in texts]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        if self.index.fresh:
+            got = self._encode_words(self.index.fresh)
+            self.index.fresh = []
             sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.pool = np.concatenate([self.pool, np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
             self.sizes = np.concatenate([self.sizes, sizes])
             self.starts = np.cumsum(self.sizes) - self.sizes
-        out = []
-        for ws in words:
-            at = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-            n = self.sizes[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.pool[np.repeat(self.starts[at] - (ends - n), n) + np.arange(total)])
-        return out
+        n = self.sizes[at]
+        ends = np.cumsum(n)
+        flat = self.pool[np.repeat(self.starts[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return np.split(flat, np.r_[0, ends][np.cumsum(counts)][:-1]) if len(words) else []
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -140,12 +179,14 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, with_ids: bool
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(over_chunks(cut), shape)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(over_chunks(cut, limit=2 << 20), shape)
 
 
 def ranked(cut: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """The pieces with their rank (from 0) within their length."""
-    salts = max(1, -(-max(histogram.values()) // PER_SALT)) * 4
+    parts = max(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # no group of a length and a salt holds more than a quarter of a partition's share of the pieces
+    salts = max(1, -(-4 * parts * max(histogram.values()) // sum(histogram.values())))
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "salt").count()
     before = sizes.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
