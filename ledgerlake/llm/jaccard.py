@@ -8,8 +8,8 @@ So no similar pair is missed; there is no random choice and no bucket is cut.
 
 Texts with equal sets are one class from the start and are known by the hash of the set. Signatures go through
 repeats.repeated() (one shuffle, nothing of it in one task because of a frequent signature). Then
- 1. in each bucket all members are compared with its smallest one; a sketch (for each cell of the domain a few bits
-    that depend on the set's elements there) bounds the differences from below, and pairs that pass are verified on the
+ 1. in each bucket all members are compared with its smallest one; a sketch (for each cell of the domain
+    the parity of the set's elements there) bounds the differences from below, and pairs that pass are verified on the
     sets themselves. Verified links make components.
  2. buckets whose other members are in one component are done. In the others all pairs of different components are
     compared by sketch, in blocks of bounded size that several tasks share if the bucket is large; the few pairs that pass are verified.
@@ -96,23 +96,17 @@ def signatures(s: np.ndarray, sim: Similarity) -> np.ndarray:
 
 
 def sketch(s: np.ndarray, sim: Similarity) -> bytes:
-    """Four bits for each of 2**c cells, at least three cells for each difference allowed; equal sets of elements in a cell give equal bits."""
-    cells = 1 << max(4, (3 * sim.differences(len(s))).bit_length())
-    out = np.zeros(cells, np.uint8)
-    np.bitwise_xor.at(out, (s & U(cells - 1)).astype(np.int64), ((s >> U(44)) % U(15) + U(1)).astype(np.uint8))
-    return (out[: cells // 2] | out[cells // 2 :] << 4).tobytes()
-
-
-_HALVES = np.array([(x & 15 > 0) + (x >> 4 > 0) for x in range(256)], np.uint8)
+    """For each of 2**c cells, at least twelve for each difference allowed, whether it holds an odd number of elements.
+    A cell that differs between two sets holds a difference, and with so many cells few differences cancel out."""
+    cells = 1 << max(6, (12 * sim.differences(len(s))).bit_length())
+    return np.packbits((np.bincount((s & U(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
 
 
 def _folded(raw: bytes, size: int) -> np.ndarray:
     """A sketch of `size` bytes with half, a quarter, ... of its cells."""
     x = np.frombuffer(raw, np.uint8)
     while len(x) > size:
-        cells = np.concatenate([x & 15, x >> 4])
-        cells = cells[: len(cells) // 2] ^ cells[len(cells) // 2 :]
-        x = cells[: len(cells) // 2] | cells[len(cells) // 2 :] << 4
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     return x
 
 
@@ -161,7 +155,7 @@ def _passed(pairs: DataFrame, sketches: DataFrame, sim: Similarity) -> DataFrame
             differ = np.empty(x.num_rows, np.int64)
             for i, (p, q) in enumerate(zip(x.column(4).to_pylist(), x.column(5).to_pylist())):
                 size = min(len(p), len(q))
-                differ[i] = _HALVES[_folded(p, size) ^ _folded(q, size)].sum()
+                differ[i] = np.bitwise_count(_folded(p, size) ^ _folded(q, size)).sum()
             ok = pa.array(may_link(x.column(2).to_numpy(), x.column(3).to_numpy(), differ, sim))
             yield pa.RecordBatch.from_arrays([x.column(0).filter(ok), x.column(1).filter(ok)], names=["a", "b"])
 
@@ -233,7 +227,7 @@ def _unresolved(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, sim:
         for x in range(len(rows) - 1):
             y = x + 1 + np.flatnonzero((component[x + 1 :] != component[x]) & ((block[x + 1 :] != block[x]) if apart else True) & may_link(n[x + 1 :], n[x], np.abs(n[x + 1 :] - n[x]), sim))
             if len(y):
-                y = y[may_link(n[y], n[x], _HALVES[sketches[y] ^ sketches[x]].sum(axis=1, dtype=np.int64), sim)]
+                y = y[may_link(n[y], n[x], np.bitwise_count(sketches[y] ^ sketches[x]).sum(axis=1, dtype=np.int64), sim)]
                 out += [(min(owner[x], o), max(owner[x], o)) for o in owner[y]]
         return out
 
