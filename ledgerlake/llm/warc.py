@@ -5,8 +5,8 @@ conversion record (text/plain). Both refer to the response's record id, keep its
 have ids that are a hash of that id and the record type, so that a repeated run makes the same records. Digests are
 sha256 in the notation algorithm:value. All of it is row by row in built-in functions: nothing is shuffled.
 
-HTML becomes text by these rules: comments and script, style, noscript, template, svg and head-less frames go with
-their content; tags of blocks end a line, other tags vanish; the entities of ENTITIES are resolved once (others stay);
+HTML becomes text by these rules: comments and script, style, noscript, template and svg go with their
+content; tags of blocks end a line, other tags vanish; the entities of ENTITIES are resolved once (others stay);
 white space is collapsed, empty lines go.
 
 Defined cases: a null body is empty and gives an empty conversion; a null URI is written as an empty field; repeated
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: What vanishes with its content, tags that end a line, entities.
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>|<svg\b.*?</svg\s*>"
+HIDDEN = r"(?is)<(?:!--.*?--|script\b.*?</script\s*|style\b.*?</style\s*|noscript\b.*?</noscript\s*|template\b.*?</template\s*|svg\b.*?</svg\s*)>"
 BLOCK = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|dl|dt|dd|tr|td|th|table|thead|tbody|section|article|aside|main|nav|header|footer|form|blockquote|pre|hr|title|head|body|html|figure|figcaption)\b[^>]*>"
 TAG = r"<[^>]*>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
@@ -44,8 +44,9 @@ def clean(text: Column) -> Column:
     x = text
     for name, is_ in ENTITIES:
         x = F.replace(x, F.lit(name), F.lit(is_))
-    x = F.regexp_replace(x, r"[ \t\r\f\x0b]+", " ")
-    return F.trim(F.regexp_replace(x, r"\s*\n\s*", "\n"), F.lit(" \n"))
+    # single spaces, the most of all, aren't matched
+    x = F.regexp_replace(x, r"[\t\r\f\x0b][ \t\r\f\x0b]*| [ \t\r\f\x0b]+", " ")
+    return F.trim(F.regexp_replace(x, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def plain_text(html: Column) -> Column:
