@@ -7,7 +7,8 @@ reader sees the shards from before a merge or those from after it, never both. F
 `keep_versions` names any more are deleted after the publish. A job that dies leaves files that no manifest names.
 
 A merge reads and writes the rows of its shards once, without a shuffle, with a task for each file of the target size;
-a row is rewritten once for each tier that it climbs.
+a row is rewritten once for each tier that it climbs. When no tier is full, the small files (below half the target) of a
+shard of any size are gathered into files of about the target size; larger ones stay as they are.
 
 Defined cases: rows keep all columns, nulls and repeats; an empty arrival publishes nothing; a writer that loses the race
 for a version gets Conflict, and its files are deleted.
@@ -52,6 +53,13 @@ def next_merge(sizes: list[int], tiers: Tiers) -> list[int]:
     return []
 
 
+def small_files(shard: dict, tiers: Tiers) -> list[int]:
+    """Which files of a shard to gather: those below half the target size, if there are several. Fewer files take their place, so gathering ends."""
+    sizes = shard.get("sizes") or [shard["bytes"] // len(shard["files"])] * len(shard["files"])
+    small = [i for i, n in enumerate(sizes) if 2 * n < tiers.target_bytes]
+    return small if len(small) > 1 else []
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, tiers: Tiers = Tiers()):
         self.spark, self.root, self.tiers = spark, root.rstrip("/"), tiers
@@ -69,7 +77,7 @@ class ShardStore:
         out = []
         for folder, own in files.items():
             full = [(f, n, k) for f, n in own if (k := rows.get(tuple(f.rsplit("/", 2)[1:]), 0))]
-            out.append({"folder": folder, "files": [f for f, _, _ in full], "bytes": sum(n for _, n, _ in full), "rows": sum(k for _, _, k in full), "merges": made})
+            out.append({"folder": folder, "files": [f for f, _, _ in full], "sizes": [n for _, n, _ in full], "bytes": sum(n for _, n, _ in full), "rows": sum(k for _, _, k in full), "merges": made})
         return out
 
     def _publish(self, shards: list[dict], new: list[dict]) -> int:
@@ -82,13 +90,13 @@ class ShardStore:
             raise
 
     def append(self, arrivals: DataFrame, by: Column | None = None) -> int:
-        """Appends an arrival as one shard; by: as one shard, and one version, for each value. One job writes all of them."""
+        """Appends an arrival as one shard; by: as one shard, and one version, for each value. One job writes all of them, with the rows of a value brought together (a large value over several tasks)."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         if by is None:
             arrivals.write.option("compression", "zstd").parquet(folder)
             folders = [folder]
         else:
-            arrivals.withColumn("_arrival", by).write.partitionBy("_arrival").option("compression", "zstd").parquet(folder)
+            arrivals.withColumn("_arrival", by).hint("rebalance", "_arrival").write.partitionBy("_arrival").option("compression", "zstd").parquet(folder)
             listed = self.manifests._fs.listStatus(self.manifests._path(folder))
             folders = sorted(s.getPath().toString() for s in listed if s.getPath().getName().startswith("_arrival="))
         version = self.manifests.latest()
@@ -104,11 +112,7 @@ class ShardStore:
         if not chosen:
             return None
         old = [shards[i] for i in chosen]
-        size = sum(s["bytes"] for s in old)
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        rows = self.spark.read.parquet(*(f for s in old for f in s["files"]))
-        rows.coalesce(max(1, round(size / self.tiers.target_bytes))).write.option("compression", "zstd").parquet(folder)
-        new = self._shards([folder], 1 + max(s["merges"] for s in old))[0]
+        new = self._rewritten([f for s in old for f in s["files"]], sum(s["bytes"] for s in old), 1 + max(s["merges"] for s in old))
         if new["rows"] != sum(s["rows"] for s in old):
             raise RuntimeError("a merge changed the number of rows")
         kept = [s for i, s in enumerate(shards) if i not in set(chosen)]
@@ -116,13 +120,44 @@ class ShardStore:
         kept.insert(chosen[0], new)
         version = self._publish(kept, [new])
         if self.tiers.keep_versions <= 1:
-            for s in old:
-                self.manifests.delete(s["folder"])
+            for folder in {f.rsplit("/", 1)[0] for s in old for f in s["files"]}:
+                self.manifests.delete(folder)
+        return version
+
+    def gather(self) -> int | None:
+        """The small files of the first shard that has several, in files of about the target size, as a new version; None if no shard has."""
+        shards = self.shards()
+        for at, s in enumerate(shards):
+            if chosen := set(small_files(s, self.tiers)):
+                break
+        else:
+            return None
+        sizes = s.get("sizes") or [s["bytes"] // len(s["files"])] * len(s["files"])
+        old = [f for i, f in enumerate(s["files"]) if i in chosen]
+        stay = [(f, n) for i, (f, n) in enumerate(zip(s["files"], sizes)) if i not in chosen]
+        part = self._rewritten(old, sum(n for i, n in enumerate(sizes) if i in chosen), s["merges"])
+        files, sizes = [*(f for f, _ in stay), *part["files"]], [*(n for _, n in stay), *part["sizes"]]
+        kept = {f for f, _ in stay}
+        rows = part["rows"] + (self.spark.read.parquet(*kept).count() if kept else 0)
+        if rows != s["rows"]:
+            raise RuntimeError("a gathering changed the number of rows")
+        new = {**s, "folder": part["folder"], "files": files, "sizes": sizes, "bytes": sum(sizes)}
+        version = self._publish([*shards[:at], new, *shards[at + 1 :]], [part])
+        if self.tiers.keep_versions <= 1:
+            used = {f.rsplit("/", 1)[0] for f in kept}
+            for gone in {f if f.rsplit("/", 1)[0] in used else f.rsplit("/", 1)[0] for f in old}:
+                self.manifests.delete(gone)
         return version
 
+    def _rewritten(self, files: list[str], size: int, made: int) -> dict:
+        """The rows of files in new ones of about the target size."""
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        self.spark.read.parquet(*files).coalesce(max(1, round(size / self.tiers.target_bytes))).write.option("compression", "zstd").parquet(folder)
+        return self._shards([folder], made)[0]
+
     def compact(self) -> int:
-        """Merges until no tier is full; the version then."""
-        while self.merge():
+        """Merges until no tier is full and no shard has several small files; the version then."""
+        while self.merge() or self.gather():
             pass
         return self.manifests.latest()
 

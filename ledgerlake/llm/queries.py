@@ -43,14 +43,21 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
 
 
-#: Arrivals that the documents are appended in.
+#: Arrivals that the documents are appended in, at least, and the bytes of the table for each: an arrival stays small at every scale.
 ARRIVALS = 16
+ARRIVAL_BYTES = 32 << 20
+
+
+def arrivals(size: int) -> int:
+    return max(ARRIVALS, -(-size // ARRIVAL_BYTES))
 
 
 def op7_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = compaction.ShardStore(spark, Scratch(spark, "shards").path("store"))
-    arrival = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(ARRIVALS)).cast("int")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars", arrival.alias("arrival"))
+    docs = table(spark, sf_dir, "documents")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of its files
+    arrival = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(arrivals(size))).cast("int")
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars", arrival.alias("arrival"))
     store.append(docs, arrival)
     version = store.compact()
     return store.read_placed(version).select("doc_id", "arrival", "shard", F.lit(version).alias("version"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))

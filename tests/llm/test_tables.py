@@ -52,6 +52,40 @@ def test_store_keeps_every_row_at_every_version(spark, tmp_path):
         store.manifests.publish(after + 1, {"shards": []})
 
 
+def test_large_shards_of_small_files_are_gathered(spark, tmp_path):
+    r = random.Random(5)
+    data = [(i, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400))) for i in range(1200)]
+    tiers = compaction.Tiers(target_bytes=60_000, fanout=4, smallest=1000)
+    store = compaction.ShardStore(spark, str(tmp_path / "s"), tiers)
+    store.append(spark.createDataFrame(data[:600], "doc_id long, text string").repartition(40))
+    assert tiers.tier(store.shards()[0]["bytes"]) == -1  # too large for the tiers
+    store.append(spark.createDataFrame(data[600:], "doc_id long, text string").repartition(2))
+    version = store.compact()
+    for s in store.shards():
+        assert len([n for n in s["sizes"] if 2 * n < tiers.target_bytes]) <= 1 and len(s["files"]) <= 5 and s["rows"] == 600
+    assert sorted(map(tuple, store.read(version).collect())) == data
+    # a file that is large enough stays where it is
+    a, b = store.shards()[0], store.shards()[1]
+    assert compaction.small_files({"files": ["x", "y", "z"], "sizes": [90_000, 100, 200], "bytes": 90_300}, tiers) == [1, 2]
+    mixed = {**a, "files": a["files"] + b["files"], "sizes": a["sizes"] + b["sizes"], "bytes": a["bytes"] + b["bytes"], "rows": 1200}
+    tail = compaction.ShardStore(spark, str(tmp_path / "t"), tiers)
+    tail.append(spark.createDataFrame(data[:9], "doc_id long, text string").repartition(3))
+    t = tail.shards()[0]
+    tail.manifests.publish(2, {"version": 2, "shards": [{**mixed, "files": mixed["files"] + t["files"], "sizes": mixed["sizes"] + t["sizes"], "bytes": mixed["bytes"] + t["bytes"], "rows": 1209}]})
+    tail.compact()
+    big = [f for f, n in zip(mixed["files"], mixed["sizes"]) if 2 * n >= tiers.target_bytes]
+    assert big and set(big) < set(tail.shards()[0]["files"]) and sorted(map(tuple, tail.read().collect())) == sorted(data + data[:9])
+
+
+def test_arrivals_are_brought_together_and_follow_the_input(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    store = compaction.ShardStore(spark, str(tmp_path / "s"))
+    store.append(spark.range(0, 4000, 1, 8), F.pmod("id", F.lit(5)).cast("int"))
+    assert [len(s["files"]) for s in store.shards()] == [1] * 5 and store.read().count() == 4000
+    assert queries.arrivals(500 << 20) == queries.ARRIVALS and queries.arrivals(30 << 30) == 960
+
+
 def test_shard_query_returns_every_document(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     import hashlib
