@@ -11,8 +11,12 @@ Only repeated grams leave the scan's neighbourhood: per gram and per run one agg
 finds the first position, and an equi-join brings it back, which AQE splits when one passage is in a third of all
 texts. No pairs are made.
 
+Shorter repeats count on request (short_words): a line of that many words or more, and a whole text of fewer lines than a
+run, are units of their own in the same search for the first position. The registered query and the pipeline's stage
+leave it off, as their SQL and tests have runs only.
+
 Defined cases: a null or empty text has one blank line and loses nothing; texts with fewer lines than a run keep them
-all; rows that share a doc_id are told apart by their text, and rows equal in both count as one document; a null doc_id
+all, unless short repeats count; rows that share a doc_id are told apart by their text, and rows equal in both count as one document; a null doc_id
 sorts before all others; columns other than doc_id and text are carried along untouched.
 """
 
@@ -46,29 +50,50 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     return rows.select("key", "pos", "fingerprint", start.alias("start"), F.slice("h", start + 1, F.col("pos") + gram + window - 1 - start).alias("around"))
 
 
-def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def short_units(docs: DataFrame, size: int, short_words: int) -> DataFrame:
+    """key, start, stop, run1, run2 (hashes) of each line of short_words words or more and of each whole text of fewer lines than size."""
+    solid = F.filter(F.transform(_lines(F.col("text")), lambda x: F.trim(x, F.lit(BLANKS))), lambda x: x != "")
+
+    def unit(start: Column, stop: Column, kind: str, s: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), *(F.xxhash64(F.lit(seed), F.lit(kind), s).alias(f"run{seed}") for seed in (1, 2)))
+
+    long_line = lambda x: F.size(F.split(x, f"[{BLANKS}]+")) >= short_words
+    lines = F.filter(F.transform("solid", lambda x, i: F.struct(long_line(x).alias("long"), unit(i, i + 1, "line", x).alias("u"))), lambda x: x["long"])
+    whole = F.when((F.size("solid") > 0) & (F.size("solid") < size), F.array(unit(F.lit(0), F.size("solid"), "text", F.array_join("solid", "\n")))).otherwise(F.array())
+    rows = docs.select(_key(), solid.alias("solid")).select("key", F.concat(F.transform(lines, lambda x: x["u"]), whole).alias("units"))
+    return rows.select("key", F.explode_outer("units").alias("u")).where("u is not null").select("key", "u.*")
+
+
+def _key() -> Column:
+    return F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("key")
+
+
+def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, short_words: int | None = None) -> DataFrame:
     """key, start, stop (in lines that aren't blank) of each run to delete. docs: doc_id, text."""
     size = gram + window - 1
-    base = docs.select(F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).alias("key"), F.transform(_solid(_lines(F.col("text"))), lambda x: x.h).alias("h"))
+    base = docs.select(_key(), F.transform(_solid(_lines(F.col("text"))), lambda x: x.h).alias("h"))
     marks = fingerprints(base, gram, window)
     place = F.struct("key", "pos")
     again = marks.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("fingerprint")
     near = marks.join(again, "fingerprint")
     shift = F.transform(F.sequence(F.lit(0), F.size("around") - size), lambda i: F.struct((F.col("start") + i).alias("start"), F.struct(*(F.xxhash64(F.lit(seed), *(F.get("around", i + j) for j in range(size))) for seed in (1, 2))).alias("run")))
-    runs = near.where(F.size("around") >= size).select("key", F.explode_outer(shift).alias("r")).select("key", "r.start", F.col("r.run.col1").alias("run1"), F.col("r.run.col2").alias("run2"))
+    runs = near.where(F.size("around") >= size).select("key", F.explode_outer(shift).alias("r")).select("key", "r.start", (F.col("r.start") + size).alias("stop"), F.col("r.run.col1").alias("run1"), F.col("r.run.col2").alias("run2"))
+    if short_words is not None:
+        runs = runs.unionByName(short_units(docs, size, short_words))
     first = runs.groupBy("run1", "run2").agg(F.min(F.struct("key", "start")).alias("low"), F.max(F.struct("key", "start")).alias("high")).where("low <> high").select("run1", "run2", "low")
-    later = runs.join(first, ["run1", "run2"]).where(F.struct("key", "start") > F.col("low")).select("key", "start").distinct()
+    later = runs.join(first, ["run1", "run2"]).where(F.struct("key", "start") > F.col("low")).select("key", "start", "stop").distinct()
     from pyspark.sql import Window
 
-    by_text = Window.partitionBy("key").orderBy("start")
-    fresh = later.withColumn("new", F.coalesce(F.col("start") > F.lag("start").over(by_text) + size, F.lit(True)).cast("int"))
+    by_text = Window.partitionBy("key").orderBy("start", "stop")
+    reached = F.max("stop").over(by_text.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = later.withColumn("new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
     numbered = fresh.withColumn("n", F.sum("new").over(by_text))
-    return numbered.groupBy("key", "n").agg(F.min("start").alias("start"), (F.max("start") + size).alias("stop")).drop("n")
+    return numbered.groupBy("key", "n").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("n")
 
 
-def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, short_words: int | None = None) -> DataFrame:
     """The documents with `text` as kept, and n_lines, n_removed (lines that weren't blank), and spans: the runs deleted, in lines of the input."""
-    runs = repeated_runs(docs, gram, window).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_runs")).select(F.col("key.doc_id").alias("_id"), F.col("key.text_hash").alias("_hash"), "_runs")
+    runs = repeated_runs(docs, gram, window, short_words).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_runs")).select(F.col("key.doc_id").alias("_id"), F.col("key.text_hash").alias("_hash"), "_runs")
     own = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = own.join(runs, (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     lines, spans = F.col("_lines"), F.col("spans")
@@ -84,10 +109,10 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     return told.withColumn("text", F.when(F.size(spans) > 0, kept).otherwise(F.coalesce("text", F.lit("")))).drop("_text_hash", "_id", "_hash", "_runs", "_lines", "_at")
 
 
-def dedup_documents(docs: DataFrame) -> DataFrame:
+def dedup_documents(docs: DataFrame, short_words: int | None = None) -> DataFrame:
     """The documents with repeated runs gone, and n_chars as it is now. A text that lost all its lines goes with them: all of it stands elsewhere."""
     names = docs.columns
-    out = dedup_lines(docs).where(~((F.col("n_removed") > 0) & (F.trim(F.col("text"), F.lit(BLANKS + "\n")) == "")))
+    out = dedup_lines(docs, short_words=short_words).where(~((F.col("n_removed") > 0) & (F.trim(F.col("text"), F.lit(BLANKS + "\n")) == "")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*names)

@@ -52,6 +52,21 @@ def test_line_dedup_drops_texts_that_lost_all(spark):
     assert sorted(out) == [1, 3, 4, 5] and out[3].text == "q\n" and out[3].n_chars == 2
 
 
+def test_short_repeats_count_on_request(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    near = " ".join(f"w{i}" for i in range(49))
+    data = [(1, "a\nb"), (2, "a\n\n b \n"), (3, f"a\n{long}\nz"), (4, f"q\n{long}\nr\n{long}"), (5, near), (6, f"{near}\nx"), (7, "a"), (8, "a\nb\nc"), (9, "p\na\nb\nc"), (10, None), (None, "k"), (11, "k"), (12, long), (13, f"{long}\na\nb\nc")]
+    df = plain.frame(spark, data)
+    got = {r.doc_id: (r.n_removed, r.text, [tuple(x) for x in r.spans]) for r in linededup.dedup_lines(df, short_words=50).collect()}
+    want = {i: (0, t or "", []) for i, t in data}
+    want |= {2: (2, "", [(0, 3)]), 4: (2, "q\nr", [(1, 2), (3, 4)]), 9: (3, "p", [(1, 4)]), 11: (1, "", [(0, 1)]), 12: (1, "", [(0, 1)]), 13: (4, "", [(0, 4)])}
+    want[2] = (2, "\n".join(["a", "", " b ", ""][3:]), [(0, 3)])
+    assert got == want
+    assert {r.doc_id for r in linededup.dedup_documents(df, short_words=50).collect()} == {i for i, _ in data} - {2, 11, 12, 13}
+    # off unless asked for: the query's SQL has runs only
+    assert {r.doc_id for r in linededup.dedup_lines(df).collect() if r.n_removed} == {9, 13}
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
