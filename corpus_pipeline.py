@@ -4,7 +4,7 @@
  2. line_dedup: later copies of runs of three lines or more go; so does a text that lost all its lines that way.
  3. jaccard_join: of documents linked by a similarity of 0.8 or more of their five-word shingles the smallest id stays.
  4. substring_dedup: words in windows of 13 words that stand in a document of smaller id go; so does a text that lost all its words that way.
- 5. packing: documents become pieces of sequences of at most 2048 tokens.
+ 5. packing: documents become pieces of sequences of at most 2048 tokens, written with their token ids.
 All but the last return the columns of documents. A null text passes as a text that is empty, and fails stage 1 for its length.
 """
 
@@ -34,7 +34,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [

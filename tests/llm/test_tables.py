@@ -137,6 +137,20 @@ def test_pipeline_matches_plain_stages(spark, tmp_path):
     assert all(m for m in (jaccard, linededup, packing, quality, substring))
 
 
+def test_pipeline_writes_token_ids(spark):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    data = [(1, "some words\nof a text"), (2, "longer " * 3000), (3, ""), (4, None)]
+    ref = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {}
+    for x in sorted(corpus_pipeline.best_fit_packing(spark, plain.frame(spark, data), "").collect(), key=lambda x: (x.doc_id, x.piece)):
+        assert len(x.ids) == x.length
+        ids[x.doc_id] = ids.get(x.doc_id, []) + x.ids
+    assert ids == {i: [*ref.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for i, t in data}
+
+
 def test_the_rest_imports_without_this_subpackage(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     shutil.copytree(f"{root}/ledgerlake", tmp_path / "ledgerlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
