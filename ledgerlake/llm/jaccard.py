@@ -33,6 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, over_chunks
 from .repeats import marked, repeated
@@ -256,10 +257,9 @@ def _unresolved(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, sim:
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
-def join_classes(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """doc_id, n_shingles, component_id, d1, d2 (hashes of the set) of each document."""
+def _linked(docs: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
+    """doc_id, n, d1, d2 (size and hashes of the set) and c1, c2 (the component, where the set isn't empty) of each document."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = scratch.save(sets_of(own, sim), "sets")
@@ -281,13 +281,44 @@ def join_classes(docs: DataFrame, sim: Similarity) -> DataFrame:
         labels = components(links, scratch)
     scratch.drop(buckets, more)
 
-    linked = table.join(labels.selectExpr("id as d1", "component"), "d1", "left").select("doc_id", "n", "d1", "d2", F.coalesce("component", "d1").alias("c1"), F.when(F.col("component").isNull(), F.col("d2")).otherwise(0).alias("c2"))
+    return table.join(labels.selectExpr("id as d1", "component"), "d1", "left").select("doc_id", "n", "d1", "d2", F.coalesce("component", "d1").alias("c1"), F.when(F.col("component").isNull(), F.col("d2")).otherwise(0).alias("c2"))
+
+
+def join_classes(docs: DataFrame, sim: Similarity) -> DataFrame:
+    """doc_id, n_shingles, component_id, d1, d2 (hashes of the set) of each document."""
+    linked = _linked(docs, sim, Scratch(docs.sparkSession, "jaccard"))
     lowest = linked.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("lowest"))
     out = linked.join(lowest, ["c1", "c2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"), "d1", "d2")
 
 
+def _with_digest(docs: DataFrame, sim: Similarity) -> DataFrame:
+    """docs with _d1, _d2 (hashes of each set; 0 if empty)."""
+    shape = StructType([*docs.schema.fields, StructField("_d1", LongType()), StructField("_d2", LongType())])
+
+    def run(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch:
+        d = np.array([_digest(s) if len(s) else (0, 0) for s in shingle_sets(words(text, lower=True), sim.words)], np.int64)
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=[*part.schema.names, "_d1", "_d2"])
+
+    return docs.mapInArrow(over_chunks(run), shape)
+
+
 def keep_one(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
-    """The documents without those that are linked, over any number of links, with one of smaller id. All columns unchanged; rows with null ids stay."""
-    gone = join_classes(docs, sim).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id.cast("long") == gone["_gone"], "left_anti")
+    """The first row of each component, by id (null last), then by the hash of its set, then by its text; rows without words
+    stay. All columns unchanged. Ids that stand once decide by themselves; the rows of other ids and of null are told apart."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    linked = scratch.save(_linked(docs, sim, scratch), "linked")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "d1", "d2")
+    first = linked.where("n > 0").groupBy("c1", "c2").agg(F.min(place).alias("first"))
+    gone = linked.where("n > 0").join(first, ["c1", "c2"]).where(place != F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("d1").alias("_gone1"), F.col("d2").alias("_gone2")).distinct()
+    several = scratch.save(linked.groupBy("doc_id").count().where("doc_id is null or count > 1").select(F.col("doc_id").alias("_several")), "several")
+    id_ = docs.doc_id.cast("long")
+    if not several.limit(1).count():
+        return docs.join(gone, id_ == gone["_gone"], "left_anti")
+    dropped = gone.select("_gone").union(several).distinct()
+    single = docs.where(id_.isNotNull()).join(dropped, id_ == dropped["_gone"], "left_anti")
+    others = _with_digest(docs.where(id_.isNull()).union(docs.join(several, id_ == several["_several"], "left_semi")), sim)
+    left = others.join(gone, F.col("doc_id").cast("long").eqNullSafe(gone["_gone"]) & (F.col("_d1") == gone["_gone1"]) & (F.col("_d2") == gone["_gone2"]), "left_anti")
+    empty = (F.col("_d1") == 0) & (F.col("_d2") == 0)
+    once = left.where(~empty).groupBy(F.col("doc_id").cast("long"), "_d1", "_d2").agg(F.min_by(F.struct(*docs.columns), F.col("text").cast("string")).alias("row")).select("row.*")
+    return single.union(left.where(empty).select(*docs.columns)).union(once)

@@ -60,6 +60,18 @@ def test_keeps_one_and_empty_table(spark):
     assert jaccard.join_classes(df.limit(0), jaccard.Similarity()).collect() == []
 
 
+def test_keeps_one_row_of_repeated_and_null_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(90))
+    a, b, c, d, e = map(text, "abcde")
+    # an id twice with one text; null ids that are near copies; an id with two texts, one of them linked to a smaller id
+    data = [(3, a), (3, a), (4, a + " more"), (None, b), (None, b + " more"), (None, b), (2, c), (8, c + " more"), (8, d), (None, c), (9, e), (9, ""), (9, ""), (None, None)]
+    df = plain.frame(spark, data)
+    out = jaccard.keep_one(df)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == df.columns and [t for i, t in got if i is None and t in (b, b + " more")] in ([b], [b + " more"])
+    assert sorted((x for x in got if x[0] is not None or x[1] is None), key=repr) == sorted([(3, a), (2, c), (8, d), (9, e), (9, ""), (9, ""), (None, None)], key=repr) and len(got) == 8
+
+
 def test_components_of_a_chain(spark):
     from ledgerlake.llm.common import Scratch
 
