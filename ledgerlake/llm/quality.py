@@ -46,13 +46,11 @@ _SYMBOL[list(SYMBOLS)] = True
 @dataclass(frozen=True)
 class Risk:
     """alpha: share of good documents that a stratum may lose to the rules; delta: chance that this fails anywhere.
-    penalty: bad documents that one good one outweighs when cutoffs are ranked. max_strata: strata with rules of their
-    own, the largest first; the others share one set."""
+    penalty: bad documents that one good one outweighs when cutoffs are ranked."""
 
     alpha: float = 0.05
     delta: float = 0.05
     penalty: float = 10.0
-    max_strata: int = 256
 
 
 def text_counts(text: pa.StringArray) -> dict[str, np.ndarray]:
@@ -139,16 +137,16 @@ def upper_bound(x: int, n: int, error: float) -> float:
     return high
 
 
-def select_cutoffs(counts: list[tuple[str, str, int, int, int, int]], risk: Risk = Risk()) -> dict[str, dict[str, float]]:
+def select_cutoffs(counts: list[tuple[str, str, int, int, int, int]], risk: Risk = Risk(), n_strata: int | None = None) -> dict[str, dict[str, float]]:
     """Cutoffs by stratum and rule from (stratum, rule, half, quality, number of cutoffs exceeded, documents).
 
-    half 0 ranks, half 1 is the holdout."""
+    half 0 ranks, half 1 is the holdout. n_strata: how many share delta, if counts has some of them only."""
     seen: dict[tuple, dict[int, int]] = defaultdict(lambda: defaultdict(int))
     strata = set()
     for stratum, rule, half, good, level, n in counts:
         seen[stratum, rule, half, good][level] += n
         strata.add(stratum)
-    error = risk.delta / max(1, len(strata) * len(RULES))
+    error = risk.delta / max(1, (n_strata or len(strata)) * len(RULES))
     share = risk.alpha / len(RULES)
     out: dict[str, dict[str, float]] = {}
     for stratum in sorted(strata):
@@ -168,11 +166,9 @@ def select_cutoffs(counts: list[tuple[str, str, int, int, int, int]], risk: Risk
     return out
 
 
-OTHERS = "*"
-
-
 def fit(found: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[str, dict[str, float]]:
-    """Certified cutoffs; found: features() of documents. What comes to the driver is a histogram: strata x rules x grid."""
+    """Certified cutoffs; found: features() of documents. Each labelled stratum is certified by itself, in a task, from its
+    histogram (rules x grid); what comes to the driver are the cutoffs of strata with labels enough for one."""
     clean = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("good"))
     known = found.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words"))).join(clean, "doc_id")
 
@@ -184,20 +180,29 @@ def fit(found: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[str, d
     half = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(2)).cast("int").alias("half")
     rows = known.select("stratum", "good", half, levels).select("stratum", "good", "half", F.posexplode("levels").alias("rule", "level"))
     counts = rows.groupBy("stratum", "good", "half", "rule", "level").count()
-    big = [r.stratum for r in known.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(risk.max_strata).collect()]
-    counts = counts.withColumn("stratum", F.when(F.col("stratum").isin(big), F.col("stratum")).otherwise(OTHERS)).groupBy("stratum", "rule", "half", "good", "level").agg(F.sum("count").alias("n"))
+    n_strata = known.select("stratum").distinct().count()
     names = list(RULES)
-    return select_cutoffs([(r.stratum, names[r.rule], r.half, r.good, r.level, r.n) for r in counts.collect()], risk)
+
+    def certify(own: pa.Table) -> pa.Table:
+        r = own.to_pydict()
+        told = select_cutoffs([(s, names[i], h, g, level, n) for s, i, h, g, level, n in zip(r["stratum"], r["rule"], r["half"], r["good"], r["level"], r["count"])], risk, n_strata)
+        rows = [(s, rule, cutoff) for s, by_rule in told.items() for rule, cutoff in by_rule.items()]
+        return pa.table([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.float64()))], names=["stratum", "name", "cutoff"])
+
+    out: dict[str, dict[str, float]] = {}
+    for x in counts.groupBy("stratum").applyInArrow(certify, "stratum string, name string, cutoff double").collect():
+        out.setdefault(x.stratum, {})[x.name] = x.cutoff
+    return out
 
 
 def passes(c: dict[str, np.ndarray], strata: list[str], cutoffs: dict[str, dict[str, float]]) -> np.ndarray:
-    """Where no certified rule of the stratum rejects."""
+    """Where no certified rule of the stratum rejects; a stratum without one loses nothing."""
     good = np.ones(len(strata), bool)
     values = rule_values(c)
     at = np.array(strata, dtype=object)
     for stratum in set(strata):
         here = at == stratum
-        for rule, cutoff in cutoffs.get(stratum, cutoffs.get(OTHERS, {})).items():
+        for rule, cutoff in cutoffs.get(stratum, {}).items():
             good &= ~(here & (values[rule] > cutoff))
     return good
 

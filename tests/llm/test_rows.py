@@ -147,6 +147,26 @@ def test_cutoffs_keep_the_promise_and_reject_junk(spark):
     assert quality.assess(df.limit(0), labels).collect() == []
 
 
+def test_each_of_many_strata_is_certified_by_itself(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    # 300 larger strata and 500 smaller ones, which have many labels together; in the stratum "odd" good texts look like bad ones
+    part = lambda n, start, stratum, good, symbols: spark.range(start, start + n).select(F.col("id").alias("doc_id"), stratum.alias("stratum"), good.cast("int").alias("good"), symbols.cast("long").alias("n_symbols"))
+    one, bad = F.lit(1), F.col("id") % 5 == 0
+    junk = F.when(bad, 400).otherwise(0)
+    rows = part(300 * 30, 0, F.concat(F.lit("big"), F.col("id") % 300), one, F.lit(0))
+    rows = rows.union(part(500 * 20, 20000, F.concat(F.lit("small"), F.col("id") % 499), F.when(bad, 0).otherwise(1), junk)).union(part(20, 40000, F.lit("odd"), one, F.lit(400)))
+    rows = rows.union(part(20000, 50000, F.lit("en"), F.when(bad, 0).otherwise(1), junk)).localCheckpoint()
+    zero = [F.lit(0).cast("long").alias(c) for c in quality.COUNTS if c not in ("n_words", "n_symbols", "word_chars")]
+    found = rows.select("doc_id", "stratum", "n_symbols", F.lit(100).cast("long").alias("n_words"), F.lit(500).cast("long").alias("word_chars"), *zero)
+    cutoffs = quality.fit(found, rows.selectExpr("doc_id", "good as quality"))
+    assert set(cutoffs) == {"en"} and "symbols" in cutoffs["en"]
+    strata = ["odd", "big1", "without labels", "en"]
+    c = {k: np.full(4, {"n_words": 100, "n_symbols": 400, "word_chars": 500}.get(k, 0)) for k in quality.COUNTS}
+    assert quality.passes(c, strata, cutoffs).tolist() == [True, True, True, False]
+
+
 def test_fixed_sequence_stops_at_the_first_failure():
     grid = quality.RULES["symbols"][2]
     rows = [("en", "symbols", h, 1, 0, 5000) for h in (0, 1)] + [("en", "symbols", 0, 0, len(grid), 500), ("en", "symbols", 1, 1, 6, 900)]
