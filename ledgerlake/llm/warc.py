@@ -9,7 +9,10 @@ HTML becomes text by these rules: comments and script, style, noscript, template
 content; tags of blocks end a line, other tags vanish; the entities of ENTITIES are resolved once (others stay);
 white space is collapsed, empty lines go.
 
-Defined cases: a null body is empty and gives an empty conversion; a null URI is written as an empty field; repeated
+The metadata record has the status code and every header line of the response as http-<name>: <value>, in their order,
+names in lower case, folded lines as one; without a Content-Type that field stands empty.
+
+Defined cases: null headers are none; a null body is empty and gives an empty conversion; a null URI is written as an empty field; repeated
 rows give repeated records with the same ids; extra columns of responses() input are ignored, those of derivatives()
 pass through by name in `carry`.
 """
@@ -64,15 +67,22 @@ def _first(text: Column, pattern: str) -> Column:
     return F.regexp_extract(text, pattern, 1)
 
 
+def _http_fields(headers: Column) -> Column:
+    """The header lines after the status line, each as a line of warc-fields that follows another."""
+    every = F.split(F.regexp_replace(headers, r"\r?\n[ \t]+", " "), r"\r?\n")
+    lines = F.filter(every, lambda x: (F.trim(x) != "") & ~x.rlike("^HTTP/"))
+    named = F.transform(lines, lambda x: F.concat(F.lit("\r\nhttp-"), F.lower(F.trim(F.substring_index(x, ":", 1))), F.lit(": "), F.regexp_extract(x, r"^[^:]*:[ \t]*([^\r\n]*)", 1)))
+    return F.concat(F.when(headers.rlike(r"(?im)^content-type[ \t]*:"), F.lit("")).otherwise(F.lit("\r\nhttp-content-type: ")), F.array_join(named, ""))
+
+
 def derivatives(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Two rows for each response: the carried columns, record_type, record_id, refers_to, target_uri, date, source_payload_digest, content_type, block, block_digest, content_length."""
-    body = F.col("payload")
+    body, headers = F.col("payload"), F.coalesce("http_headers", F.lit(""))
     found = records.withColumn("_text", plain_text(body)).withColumn(
         "_meta",
         F.concat(
             F.lit("title: "), F.replace(clean(F.regexp_replace(_first(body, TITLE), TAG, "")), F.lit("\n"), F.lit(" ")),
-            F.lit("\r\nhttp-status: "), _first(F.col("http_headers"), r"^HTTP/\S+ (\d{3})"),
-            F.lit("\r\nhttp-content-type: "), _first(F.col("http_headers"), r"(?im)^content-type:[ \t]*([^\r\n]*)"),
+            F.lit("\r\nhttp-status: "), _first(headers, r"^HTTP/\S+ (\d{3})"), _http_fields(headers),
             F.lit("\r\nlanguage: "), F.lower(_first(body, LANG)),
             F.lit("\r\ncharset: "), F.lower(_first(body, CHARSET)),
             F.lit("\r\noutlinks: "), F.regexp_count(body, F.lit(LINK)).cast("string"),

@@ -244,3 +244,15 @@ def test_warc_records_link_to_their_response(spark):
     whole = warc.derivatives(warc.responses(pages))
     text = whole.select(warc.serialized(whole).alias("t")).collect()
     assert all(r.t.startswith("WARC/1.1\r\nWARC-Type: ") and "\r\nWARC-Refers-To: <urn:uuid:" in r.t for r in text)
+
+
+def test_warc_metadata_keeps_every_source_header(spark):
+    heads = "HTTP/1.1 404 Not Found\r\nServer: a: b\r\nContent-Type: text/html\r\nLast-Modified: Mon, 1 Jan\r\n 2024\r\nSet-Cookie: x=1\r\nset-cookie: y=2\r\nX-Empty:\r\n\r\n"
+    data = [("<urn:a>", heads), ("<urn:b>", "HTTP/1.0 200\nContent-Language: fr\n\n"), ("<urn:c>", None)]
+    df = spark.createDataFrame([(i, "http://a", "d", h, "<p>x</p>", "sha256:0") for i, h in data], "record_id string, target_uri string, date string, http_headers string, payload string, payload_digest string")
+    meta = {r.refers_to: [x for x in r.block.split("\r\n") if x.startswith("http-")] for r in warc.derivatives(df).where("record_type = 'metadata'").collect()}
+    assert meta == {
+        "<urn:a>": ["http-status: 404", "http-server: a: b", "http-content-type: text/html", "http-last-modified: Mon, 1 Jan 2024", "http-set-cookie: x=1", "http-set-cookie: y=2", "http-x-empty: "],
+        "<urn:b>": ["http-status: 200", "http-content-type: ", "http-content-language: fr"],
+        "<urn:c>": ["http-status: ", "http-content-type: "],
+    }
