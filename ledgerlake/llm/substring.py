@@ -22,10 +22,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, over_chunks
-from .repeats import marked, repeated
+from .repeats import TEXT_SHAPE, marked, repeated
 from .textvec import U, Words, mix, words
 
 WINDOW = 13
@@ -133,9 +133,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
     # level 1: smallest half-length names that several texts hold
     held = repeated(_mark_rows(scanned), parts).groupBy(F.col("owner").alias("d1")).agg(F.collect_set("key").alias("marks"))
     alive = scratch.save(held, "alive")
-    texts = scanned.groupBy("d1", "d2").agg(F.min("doc_id").alias("lowest"))
-    # several texts of one id are told apart by a number
-    texts = scratch.save(texts.withColumn("sub", F.row_number().over(Window.partitionBy("lowest").orderBy("d1", "d2")) - 1), "texts")
+    # several texts of one id are told apart by d1
+    texts = scratch.save(scanned.groupBy("d1", "d2").agg(F.min("doc_id").alias("lowest")), "texts")
     scratch.drop(scanned)
 
     # level 2: full names of the windows that survived, in the text that stands for its copies
@@ -145,21 +144,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
     def extend(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch | None:
         w = words(text)
         low, full = smallest_names(w.hashes, window), names(w.hashes, window)
-        ids, subs, marks = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3)
-        keys, owners, places = [], [], []
+        ids, digests, marks = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3)
+        keys, owners, places, texts = [], [], [], []
         for i, (a, b) in enumerate(_spans(w)):
             if b - a >= window:
                 alive_here = np.isin(low[a : b - window + 1].view(np.int64), marks[i].values.to_numpy(zero_copy_only=False))
                 at = np.flatnonzero(alive_here)
                 keys.append(full[a + at])
                 owners.append(np.full(len(at), ids[i], np.int64))
-                places.append(np.int64(subs[i]) << 40 | at)
-        return marked(np.concatenate(keys), np.concatenate(owners), np.concatenate(places)) if keys else None
-
-    candidates = dealt.join(todo, ["d1", "d2"]).where("doc_id = lowest").select("doc_id", "text", "sub", "marks")
-    later = repeated(candidates.mapInArrow(over_chunks(extend), "key long, owner long, place long"), parts, later=True)
-    found = later.groupBy(F.col("owner").alias("lowest"), F.shiftright("place", 40).cast("int").alias("sub")).agg(F.collect_list((F.col("place") % F.lit(1 << 40)).cast("int")).alias("starts"))
-    cuts = texts.join(found, ["lowest", "sub"], "left").select("d1", "d2", "lowest", "starts")
+                places.append(at)
+                texts.append(np.full(len(at), digests[i], np.int64))
+        return marked(*map(np.concatenate, (keys, owners, places, texts))) if keys else None
+
+    candidates = dealt.join(todo, ["d1", "d2"]).where("doc_id = lowest").select("doc_id", "text", "d1", "marks")
+    later = repeated(candidates.mapInArrow(over_chunks(extend), TEXT_SHAPE), parts, later=True)
+    found = later.groupBy(F.col("owner").alias("lowest"), F.col("text").alias("d1")).agg(F.collect_list(F.col("place").cast("int")).alias("starts"))
+    cuts = texts.join(found, ["lowest", "d1"], "left").select("d1", "d2", "lowest", "starts")
 
     def cut(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch:
         w = words(text, hashed=False)

@@ -64,5 +64,25 @@ def test_repeated_with_small_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_texts_of_one_owner_are_told_apart_by_digest(spark):
+    # more than 2**21 texts of one owner can't be made here: their digests fill all 64 bits, and come back whole
+    digest = np.array([-(1 << 63), -1, 0, 1 << 40, (1 << 63) - 1], np.int64)
+    n = len(digest)
+
+    def run(batches):
+        for b in batches:
+            i = b.column(0).to_numpy()
+            yield repeats.marked((i // (n + 1)).astype(U), np.where(i % (n + 1), 9, 1), i, np.where(i % (n + 1), digest[i % (n + 1) - 1], 5))
+
+    made = spark.range(0, 4 * (n + 1), 1, 3).mapInArrow(run, repeats.TEXT_SHAPE)
+    for later in (False, True):
+        got = sorted(tuple(x) for x in repeats.repeated(made, 3, later).select("key", "place", "text").collect())
+        want = [(k, k * (n + 1) + j, int(digest[j - 1]) if j else 5) for k in range(4) for j in range(n + 1)]
+        assert got == sorted(w for w in want if not later or w[1] % (n + 1))
+    long = [" ".join(f"v{i}" for i in range(k, k + 30)) for k in range(40)]
+    data = [*((None, t) for t in long), (4, long[3] + " tail"), (4, long[9]), (4, long[30] + " x")]
+    assert told(substring.remove_repeats(plain.frame(spark, data))) == plain.substring(data)
+
+
 def test_shingles_shorter_than_k():
     assert len(shingles(np.zeros(2, U), 3)) == 0
