@@ -24,10 +24,12 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Scratch, hadoop_fs, over_chunks, raw_texts, shared_dir
+from .pieces import IdCache, Pieces, byte_classes, byte_pieces, ranges
 
 #: Words in the lexicon at most, and bytes in one of them.
 LEXICON_WORDS, WORD_BYTES = 65_536, 48
@@ -106,14 +108,12 @@ class Lexicon:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def ranks(self, words: list[bytes]) -> np.ndarray:
-        """Of each word its rank, or -1: all words take a step at a time."""
-        out = np.full(len(words), -1, np.int64)
-        if not words or not len(self.keys):
+    def ranks(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Of each range of bytes its rank as a word, or -1: all take a step at a time."""
+        size = stops - starts
+        out = np.full(len(size), -1, np.int64)
+        if not len(size) or not len(self.keys):
             return out
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        start = np.r_[0, np.cumsum(size)[:-1]]
-        data = np.frombuffer(b"".join(words), np.uint8)
         live = np.flatnonzero(size <= WORD_BYTES)
         state, rank, step = np.full(len(live), self.root, np.int64), np.zeros(len(live), np.int64), 0
         while len(live):
@@ -124,7 +124,7 @@ class Lexicon:
                 live, state, rank = live[~done], state[~done], rank[~done]
                 if not len(live):
                     break
-            key = state << 8 | data[start[live] + step]
+            key = state << 8 | data[starts[live] + step]
             arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             ok = self.keys[arc] == key
             live, arc = live[ok], arc[ok]
@@ -142,8 +142,11 @@ class Lexicon:
 class Merges:
     """Pair merges over bytes: the symbol of each byte, of a last byte, and for each pair its rank and what it becomes."""
 
+    #: Widths that words are sorted into, and words that are merged together.
+    WIDTHS, BLOCK = (3, 4, 6, 8, 10, 12, 16, 24, 32, 64), 16_384
+
     def __init__(self, single: list[int], last: list[int], merges: dict[tuple[int, int], tuple[int, int]]):
-        self.single, self.last, self.merges = single, last, merges
+        self.single, self.last, self.merges = np.array(single, np.int32), np.array(last, np.int32), merges
         keys = np.array([x << 32 | y for x, y in merges], np.int64)
         order = np.argsort(keys)
         ranks = np.array([r for r, _ in merges.values()], np.int32)
@@ -151,12 +154,34 @@ class Merges:
         self.pair_keys, self.pair_ranks = keys[order], ranks[order]
         self.made = np.zeros(self.no_rank + 1, np.int32)
         self.made[ranks] = [new for _, new in merges.values()]
+        # most pairs are found where their hash says; of a slot that several share, all but one are searched for
+        self.bits = max(4, len(keys).bit_length() + 2)
+        slot = self._slots(self.pair_keys)
+        self.slot_key, self.slot_rank = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.no_rank, np.int32)
+        self.slot_key[slot], self.slot_rank[slot] = self.pair_keys, self.pair_ranks
+        self.shared = np.bincount(slot, minlength=1 << self.bits) > 1
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of symbols (b -1: none) their rank, or no_rank."""
+        key = (a.astype(np.int64) << 32 | (b.astype(np.int64) & 0xFFFFFFFF)).ravel()
+        slot = self._slots(key)
+        hit = self.slot_key[slot] == key
+        out = np.where(hit, self.slot_rank[slot], self.no_rank)
+        left = np.flatnonzero(~hit & self.shared[slot])
+        if len(left):
+            key = key[left]
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            out[left] = np.where(self.pair_keys[at] == key, self.pair_ranks[at], self.no_rank)
+        return out.reshape(a.shape)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one piece: the pair that comes first in the merge list is merged, leftmost first, until none is left."""
-        ids = [self.single[b] for b in word]
+        ids = [int(self.single[b]) for b in word]
         if ids:
-            ids[-1] = self.last[word[-1]]
+            ids[-1] = int(self.last[word[-1]])
         if len(ids) > 256:
             return self._merge_long(ids)
         get = self.merges.get
@@ -175,54 +200,63 @@ class Merges:
             if at < len(pairs):
                 pairs[at] = get((ids[at], ids[at + 1]))
 
-    def merge_all(self, words: list[bytes]) -> list[list[int]]:
-        """merge() of many words at once: in each step every word merges its first best pair."""
-        out: list[list[int]] = [[]] * len(words)
+    def merge_all(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """merge() of many ranges of bytes: their ids in one pool, where those of each start, and how many they are."""
+        size = stops - starts
+        first, count, pool, made = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), [], 0
+        for low, high in zip((0, *self.WIDTHS), self.WIDTHS):
+            every = np.flatnonzero((size > low) & (size <= high))
+            for k in range(0, len(every), self.BLOCK):
+                at = every[k : k + self.BLOCK]
+                ids, n = self._merge_block(data, starts[at], size[at], high)
+                count[at] = n
+                first[at] = made + np.cumsum(n) - n
+                pool.append(ids.T[np.arange(high) < n[:, None]])
+                made += len(pool[-1])
+        for i in np.flatnonzero(size > self.WIDTHS[-1]).tolist():
+            ids = self.merge(data[starts[i] : stops[i]].tobytes())
+            first[i], count[i] = made, len(ids)
+            pool.append(np.array(ids, np.int32))
+            made += len(ids)
+        return np.concatenate(pool).astype(np.uint32) if pool else np.zeros(0, np.uint32), first, count
+
+    def _merge_block(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of words of at most `width` bytes, a column each, and how many; in each step every word merges its first best pair."""
+        n, total = size.copy(), len(size)
+        step = np.arange(width)[:, None]
+        bytes_ = data[np.minimum(starts + step, len(data) - 1)]
+        ids = np.where(step < n - 1, self.single[bytes_], np.where(step < n, self.last[bytes_], -1))
+        rank = np.vstack([self._ranks(ids[:-1], ids[1:]), np.full((1, total), self.no_rank)]).astype(np.int32)
+        out, live = np.full((width, total), -1, np.int32), np.arange(total)
+        while True:
+            best = rank[0] << 6
+            for k in range(1, width - 1):
+                np.minimum(best, rank[k] << 6 | k, out=best)
+            more = best < self.no_rank << 6
+            if not more.all():
+                out[:, live[~more]] = ids[:, ~more]
+                live, ids, rank, best = live[more], ids[:, more], rank[:, more], best[more]
+            if not len(live):
+                return out, n
+            at, column = best & 63, np.arange(len(live))
+            # the pair's second symbol goes; what follows moves up
+            for k in range(1, width - 1):
+                up = at < k
+                ids[k] = np.where(up, ids[k + 1], ids[k])
+                rank[k] = np.where(up, rank[k + 1], rank[k])
+            ids[-1], rank[-2] = -1, self.no_rank
+            ids[at, column] = self.made[best >> 6]
+            n[live] -= 1
+            rank[at, column] = self._ranks(ids[at, column], ids[at + 1, column])
+            left = np.flatnonzero(at > 0)
+            rank[at[left] - 1, left] = self._ranks(ids[at[left] - 1, left], ids[at[left], left])
+
+    def merge_words(self, words: list[bytes]) -> list[list[int]]:
+        """merge() of each word."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        single, last = np.array(self.single, np.int32), np.array(self.last, np.int32)
-        for low, high in ((0, 8), (8, 16), (16, 32), (32, 64)):
-            at = np.flatnonzero((size > low) & (size <= high))
-            if not len(at):
-                continue
-            n = size[at].copy()
-            ids = np.full((len(at), high + 1), -1, np.int32)
-            data = np.frombuffer(b"".join(words[i] for i in at.tolist()), np.uint8)
-            ids[:, :high][np.arange(high) < n[:, None]] = single[data]
-            ids[np.arange(len(at)), n - 1] = last[data[np.cumsum(n) - 1]]
-            rank = self._ranks(ids[:, :-1], ids[:, 1:])
-            live = np.arange(len(at))
-            while len(live):
-                own = rank[live]
-                best = own.argmin(axis=1)
-                found = own[np.arange(len(live)), best]
-                more = found < self.no_rank
-                live, best, found = live[more], best[more], found[more]
-                if not len(live):
-                    break
-                # the pair's second symbol goes; what follows moves up
-                take = np.arange(high) + (np.arange(high) > best[:, None])
-                moved = np.full((len(live), high + 1), -1, np.int32)
-                moved[:, :high] = np.take_along_axis(ids[live], take, axis=1)
-                moved[np.arange(len(live)), best] = self.made[found]
-                ids[live] = moved
-                n[live] -= 1
-                ranks = np.full((len(live), high), self.no_rank, np.int32)
-                ranks[:, : high - 1] = np.take_along_axis(rank[live], take[:, : high - 1], axis=1)
-                rows = np.arange(len(live))
-                ranks[rows, best] = self._ranks(moved[rows, best], moved[rows, best + 1])
-                left = best > 0
-                ranks[rows[left], best[left] - 1] = self._ranks(moved[rows[left], best[left] - 1], moved[rows[left], best[left]])
-                rank[live] = ranks
-            for i, row, k in zip(at.tolist(), ids.tolist(), n.tolist()):
-                out[i] = row[:k]
-        for i in np.flatnonzero(size > 64).tolist():
-            out[i] = self.merge(words[i])
-        return out
-
-    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a.astype(np.int64) << 32 | (b.astype(np.int64) & 0xFFFFFFFF)
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == key) & (b >= 0), self.pair_ranks[at], self.no_rank).astype(np.int32)
+        ends = np.cumsum(size)
+        pool, first, count = self.merge_all(np.frombuffer(b"".join(words), np.uint8), ends - size, ends)
+        return [pool[a : a + n].tolist() for a, n in zip(first.tolist(), count.tolist())]
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and links, in n log n steps."""
@@ -248,6 +282,7 @@ class Merges:
                     heapq.heappush(heap, (m[0], x, m[1], ids[x], ids[y]))
         return [x for x, out in zip(ids, gone) if not out]
 
+
 class ByteBpe(Merges):
     """The vocabulary and merges of a byte-level BPE tokenizer file."""
 
@@ -258,8 +293,8 @@ class ByteBpe(Merges):
             told = json.load(f)
         byte_of = {c: b for b, c in _byte_letters().items()}
         self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
-        self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).split if self.special else None
-        self.find = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).findall if self.special else None
+        longest = sorted(self.special, key=len, reverse=True)
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")").split if longest else None
         #: How byte-level tokenizers split a text (fixed value).
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         vocab = {bytes(byte_of[c] for c in t): i for t, i in told["model"]["vocab"].items() if t not in self.special}
@@ -271,17 +306,9 @@ class ByteBpe(Merges):
         single = [vocab[bytes([b])] for b in range(256)]
         super().__init__(single, single, merges)
 
-    def words(self, text: str) -> list[str]:
-        """The pieces of a text in order; a special token is a piece of its own."""
-        if not self.special or not any(s in text for s in self.special):
-            return self.pieces(text)
-        out: list[str] = []
-        parts, marks = self.split(text), self.find(text)
-        for i, part in enumerate(parts):
-            out += self.pieces(part)
-            if i < len(marks):
-                out.append(marks[i])
-        return out
+    def parts(self, text: str) -> list[str]:
+        """A text cut at special tokens: what stands between them and, at odd places, they themselves."""
+        return self.marks(text) if self.marks and any(s in text for s in self.special) else [text]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -324,48 +351,53 @@ def _once(key: str, make: Callable[[], object]):
 
 
 class Encoder:
-    """Encodes texts with a lexicon and, for words that it lacks, the merges."""
-
-    #: Merged words that a worker remembers.
-    MEMORY = 200_000
+    """Encodes texts with a lexicon and, for pieces that it lacks, the merges."""
 
     def __init__(self, bpe: ByteBpe, lexicon: Lexicon | None):
         self.bpe, self.lexicon = bpe, lexicon
-        self.merged: dict[str, tuple[str, int, bytes, list[int]]] = {}
-        self.by_rank: dict[int, tuple[str, int, bytes, list[int]]] = {}
-        self.digits = {i: str(i) for i in bpe.bytes_of}
-
-    def _entry(self, ids: list[int]) -> tuple[str, int, bytes, list[int]]:
-        return ",".join(map(self.digits.__getitem__, ids)), len(ids), self.bpe.decode(ids), ids
-
-    def entries(self, words: Iterable[str]) -> dict[str, tuple[str, int, bytes, list[int]]]:
-        """For each distinct word its ids as text, their number, what they decode to, and the ids."""
-        distinct = list(set(words))
-        raw = [w.encode() for w in distinct]
-        ranks = self.lexicon.ranks(raw).tolist() if self.lexicon else [-1] * len(raw)
-        if len(self.merged) > self.MEMORY:
-            self.merged.clear()
-        out, unseen = {}, []
-        for word, b, rank in zip(distinct, raw, ranks):
-            if rank >= 0:
-                found = self.by_rank.get(rank)
-                if found is None:
-                    found = self.by_rank[rank] = self._entry(self.lexicon.ids(rank))
-                out[word] = found
-            elif word in self.bpe.special:
-                out[word] = self._entry([self.bpe.special[word]])
-            elif (found := self.merged.get(word)) is not None:
-                out[word] = found
-            else:
-                unseen.append((word, b))
-        for (word, _), ids in zip(unseen, self.bpe.merge_all([b for _, b in unseen])):
-            out[word] = self.merged[word] = self._entry(ids)
-        return out
+        self.classes, self.cache = byte_classes(), IdCache()
+        top = max(bpe.bytes_of) + 1
+        self.digits, self.bytes_of = np.empty(top, object), np.empty(top, object)
+        for i, b in bpe.bytes_of.items():
+            self.digits[i], self.bytes_of[i] = b"%d" % i, b
+
+    def _ids(self, p: Pieces, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, stops = p.starts[which], p.stops[which]
+        rank = self.lexicon.ranks(p.data, starts, stops) if self.lexicon else np.full(len(which), -1)
+        unseen, own = np.flatnonzero(rank < 0), np.flatnonzero(rank >= 0)
+        pool, first, count = np.zeros(0, np.uint32), np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        if len(own):
+            at = self.lexicon.starts
+            count[own] = at[rank[own] + 1] - at[rank[own]]
+            pool = self.lexicon.pool[ranges(at[rank[own]], count[own])]
+            first[own] = np.cumsum(count[own]) - count[own]
+        more, at, count[unseen] = self.bpe.merge_all(p.data, starts[unseen], stops[unseen])
+        first[unseen] = at + len(pool)
+        return np.concatenate([pool, more]), first, count
+
+    def encode_texts(self, text: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where those of each begin (and the last end)."""
+        special = [pc.match_substring(text, s).to_numpy(zero_copy_only=False) for s in self.bpe.special]
+        if not (special and np.any(special)):
+            return self._encode_parts(text)
+        cut = [self.bpe.parts(t) for t in text.to_pylist()]
+        flat, at = self._encode_parts(pa.array([x for own in cut for x in own[::2]], pa.string()))
+        n, mark = np.diff(at), [self.bpe.special.get(x, -1) for own in cut for x in [*own[1::2], None]]
+        mark = np.array(mark, np.int64)
+        size = n + (mark >= 0)
+        ends = np.cumsum(size)
+        out = np.empty(int(ends[-1]), np.uint32)
+        out[ranges(ends - size, n)] = flat
+        out[ends[mark >= 0] - 1] = mark[mark >= 0]
+        return out, np.r_[0, ends][np.r_[0, np.cumsum([len(own) // 2 + 1 for own in cut])]]
+
+    def _encode_parts(self, text: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        p = byte_pieces(text, self.classes)
+        flat, at = self.cache.ids(self.cache.entries(p, self._ids))
+        return flat, at[p.first]
 
     def encode(self, text: str) -> list[int]:
-        words = self.bpe.words(text)
-        known = self.entries(words)
-        return [i for w in words for i in known[w][3]]
+        return self.encode_texts(pa.array([text], pa.string()))[0].tolist()
 
 
 # --- over tables
@@ -425,7 +457,7 @@ def build_lexicon(words: list[bytes], bpe: ByteBpe, limit: int = LEXICON_WORDS)
         if len(pieces) >= limit:
             break
     chosen = list(pieces)[:limit]
-    return compile_lexicon(zip(chosen, bpe.merge_all(chosen)))
+    return compile_lexicon(zip(chosen, bpe.merge_words(chosen)))
 
 
 def share_file(spark: SparkSession, data: bytes, kind: str) -> str:
@@ -444,27 +476,23 @@ def share_file(spark: SparkSession, data: bytes, kind: str) -> str:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False, limit: int = LEXICON_WORDS) -> DataFrame:
-    """Per document doc_id, n_tokens, ids_sha256, decoded_sha256, n_lexicon (words that the lexicon gave), and ids if asked for."""
+    """Per document doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for."""
     spark = docs.sparkSession
     name = share_file(spark, build_lexicon(frequent_words(docs, limit), ByteBpe(tokenizer), limit), "lexicon")
 
     def digest(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch:
         bpe = _once(f"bpe:{tokenizer}", lambda: ByteBpe(tokenizer))
         encoder = _once(f"encoder:{tokenizer}:{name}", lambda: Encoder(bpe, Lexicon.open(SparkFiles.get(name))))
-        pieces = [bpe.words(t) for t in text.to_pylist()]
-        known = encoder.entries({w for p in pieces for w in p})
-        n, sums, decoded, ids = [], [], [], []
-        for p in pieces:
-            told, sizes, back, own = zip(*map(known.__getitem__, p)) if p else ((), (), (), ())
-            n.append(sum(sizes))
-            sums.append(hashlib.sha256(",".join(told).encode()).hexdigest())
-            decoded.append(hashlib.sha256(b"".join(back).decode(errors="replace").encode()).hexdigest())
-            if with_ids:
-                ids.append([i for x in own for i in x])
-        columns = [part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
+        flat, at = encoder.encode_texts(text)
+        told, back = encoder.digits[flat].tolist(), encoder.bytes_of[flat].tolist()
+        sums, decoded = [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            sums.append(hashlib.sha256(b",".join(told[a:b])).hexdigest())
+            decoded.append(hashlib.sha256(b"".join(back[a:b]).decode(errors="replace").encode()).hexdigest())
+        columns = [part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
-            columns.append(pa.array(ids, pa.list_(pa.int32())))
+            columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32))))
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import chain
 
@@ -25,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import WordBpe, _once
-from .common import Scratch, over_chunks, raw_texts
+from .common import Scratch, over_chunks
+from .pieces import IdCache, Pieces, ranges, word_classes, word_pieces
 
 SEQUENCE, END_ID = 2048, 0
 
@@ -77,106 +77,60 @@ def plan(histogram: dict[int, int], size: int = SEQUENCE) -> list[Run]:
     return runs
 
 
-class _Numbers(dict):
-    """Numbers its keys as they come; `fresh` has those that came last."""
-
-    def __init__(self):
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, key: bytes) -> int:
-        n = self[key] = len(self)
-        self.fresh.append(key)
-        return n
-
-
 class WordEncoder:
-    """Token ids of many texts at once for a tokenizer that never joins across ASCII white space: words are encoded once.
+    """Token ids of many texts at once for a tokenizer that never joins across ASCII white space.
 
     Words of plain Latin letters, digits and signs are split and merged here, many at a time; all others, and those that
-    may hold a special token, go through the tokenizers library."""
-
-    #: Distinct words, and pieces of words, that a worker remembers.
-    MEMORY, PIECES = 1_000_000, 200_000
-    #: How this tokenizer splits lower-cased text, and words that normalisation leaves alone but for case (fixed values).
-    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-    PLAIN = r"[!-~\u00c0-\u00ff]+"
-    LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,!?;:|]?"
+    may hold a special token, go through the tokenizers library. What a worker has met before it knows (IdCache)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.merges = WordBpe(path)
-        self.split, self.plain = regex.compile(self.SPLIT).findall, regex.compile(self.PLAIN).fullmatch
-        self.letters = regex.compile(self.LETTERS).fullmatch
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index = _Numbers()
-        self.known: dict[str, list[int]] = {}
-        self.pool = np.zeros(0, np.uint32)
-        self.sizes = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-
-    def _parts(self, text: str) -> list[str] | None:
-        """How a plain word is split; None for words that the library is to encode."""
-        if self.letters(text):  # letters, perhaps with one sign after them
-            return [text.lower()] if text[-1].isalpha() else [text[:-1].lower(), text[-1]]
-        return self.split(text.lower()) if self.plain(text) and "<|" not in text else None
-
-    def _encode_words(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.known) > self.PIECES:
-            self.known.clear()
-        known = self.known
-        texts = [w.decode() for w in words]
-        parts = list(map(self._parts, texts))
-        new = list({p for ps in parts if ps for p in ps} - known.keys())
-        known.update(zip(new, self.merges.merge_all([p.encode() for p in new])))
-        odd = [i for i, ps in enumerate(parts) if ps is None]
-        out = [[] if ps is None else known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] if len(ps) == 2 else [x for p in ps for x in known[p]] for ps in parts]
-        for i, e in zip(odd, self.tokenizer.encode_batch([texts[i] for i in odd], add_special_tokens=False)):
-            out[i] = e.ids
-        return out
-
-    def encode(self, texts: Iterable[bytes]) -> list[np.ndarray]:
-        """Ids of each text."""
-        if len(self.index) > self.MEMORY:
-            self._clear()
-        words = [t.split() for t in texts]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
-        if self.index.fresh:
-            got = self._encode_words(self.index.fresh)
-            self.index.fresh = []
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.starts = np.cumsum(self.sizes) - self.sizes
-        n = self.sizes[at]
-        ends = np.cumsum(n)
-        flat = self.pool[np.repeat(self.starts[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return np.split(flat, np.r_[0, ends][np.cumsum(counts)][:-1]) if len(words) else []
+        self.merges, self.classes, self.cache = WordBpe(path), word_classes(), IdCache()
+
+    def _ids(self, p: Pieces, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        plain, odd = np.flatnonzero(~p.odd[which]), np.flatnonzero(p.odd[which])
+        first, count = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        pool, first[plain], count[plain] = self.merges.merge_all(p.data, p.starts[which[plain]], p.stops[which[plain]])
+        if len(odd):
+            made = self.tokenizer.encode_batch([p.raw(i).decode() for i in which[odd].tolist()], add_special_tokens=False)
+            ids = [e.ids for e in made]
+            count[odd] = [len(x) for x in ids]
+            first[odd] = len(pool) + np.cumsum(count[odd]) - count[odd]
+            pool = np.concatenate([pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(count[odd].sum()))])
+        return pool, first, count
+
+    def encode(self, text: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where those of each begin (and the last end)."""
+        p = word_pieces(text, self.classes)
+        flat, at = self.cache.ids(self.cache.entries(p, self._ids))
+        return flat, at[p.first]
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of each piece."""
 
     def cut(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch:
-        encoder = _once(f"words:{tokenizer}", lambda: WordEncoder(tokenizer))
-        rows: list[tuple] = []
-        end = np.array([END_ID], np.uint32)
-        for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(raw_texts(text))):
-            ids = np.concatenate([ids, end])
-            for k, a in enumerate(range(0, len(ids), size)):
-                own = ids[a : a + size]
-                rows.append((doc, k, a, len(own), zlib.crc32(own.astype("<u4").tobytes()), *([own.tolist()] if with_ids else [])))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        flat, at = _once(f"words:{tokenizer}", lambda: WordEncoder(tokenizer)).encode(text)
+        own = np.diff(at)
+        doc = np.arange(len(own))
+        ids = np.full(len(flat) + len(own), END_ID, "<u4")
+        ids[np.arange(len(flat)) + np.repeat(doc, own)] = flat
+        n = -(-(own + 1) // size)  # pieces of each text
+        doc = np.repeat(doc, n)
+        piece = ranges(np.zeros(len(n), np.int64), n)
+        length = np.minimum(size, own[doc] + 1 - piece * size)
+        edge = np.r_[0, np.cumsum(length)]
+        raw = memoryview(ids.tobytes())
+        sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        columns = [part.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * size), pa.array(length), pa.array(sums, pa.int64())]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids.astype(np.int32))))
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(over_chunks(cut, limit=2 << 20), shape)

@@ -35,14 +35,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
+    """Powers of the multiplier and of its inverse, n at least. Those for a stretch are kept, longer ones made anew."""
+    size = max(n, _STRETCH + 1)
     if size not in _powers:
         made = []
         for p in (_P, _PI):
             x = np.full(size, p, U)
             x[0] = 1
             made.append(np.multiply.accumulate(x))
-        if size > 4 * _STRETCH:
+        if size > _STRETCH + 1:
             return made[0], made[1]
         _powers[size] = (made[0], made[1])
     return _powers[size]
@@ -70,6 +71,22 @@ def text_bytes(text: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets[1:] - offsets[0]
 
 
+def hash_ranges(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each range; ranges ascend and don't overlap."""
+    h = np.empty(len(starts), U)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(stops, starts[a] + _STRETCH, side="right")))
+        at, to = int(starts[a]), int(stops[b - 1])
+        power, inverse = _power(to - at + 1)
+        sums = np.zeros(to - at + 1, U)
+        np.cumsum(_VALUE[data[at:to]] * power[: to - at], out=sums[1:])
+        s, e = starts[a:b] - at, stops[a:b] - at
+        h[a:b] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U))
+        a = b
+    return h
+
+
 def words(text: pa.StringArray, lower: bool = False, hashed: bool = True) -> Words:
     """Words of all texts of an array without nulls; lower: A-Z as a-z."""
     data, ends = text_bytes(text)
@@ -89,19 +106,7 @@ def words(text: pa.StringArray, lower: bool = False, hashed: bool = True) -> Wor
     stop[:-1] &= ~inside[1:] | edge[1:-1]
     starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
     first = np.searchsorted(starts, np.r_[0, ends])
-    h = np.zeros(0, U)
-    if hashed:
-        h = np.empty(len(starts), U)
-        a = 0
-        while a < len(starts):
-            b = max(a + 1, int(np.searchsorted(stops, starts[a] + _STRETCH, side="right")))
-            at, to = int(starts[a]), int(stops[b - 1])
-            power, inverse = _power(to - at + 1)
-            sums = np.zeros(to - at + 1, U)
-            np.cumsum(_VALUE[data[at:to]] * power[: to - at], out=sums[1:])
-            s, e = starts[a:b] - at, stops[a:b] - at
-            h[a:b] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U))
-            a = b
+    h = hash_ranges(data, starts, stops) if hashed else np.zeros(0, U)
     return Words(data, ends, starts, stops, h, first)
 
 

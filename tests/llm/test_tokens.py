@@ -4,7 +4,9 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -34,11 +36,42 @@ def test_merges_match_the_library(byte):
         assert byte.decode(want).decode(errors="replace") == ref.decode(want, skip_special_tokens=False)
 
 
+def test_texts_together_encode_as_each_by_itself(byte):
+    for path, encoder in ((BYTE, bpe.Encoder(byte, None)), (WORD, packing.WordEncoder(WORD))):
+        ref = Tokenizer.from_file(path)
+        texts = ["", *ODD, "it'S 's 'll 're a'res ''s '", "DON'T", "'s", "x 's", "", " ", "Où ÉTÉ × Þ÷ÿ's", *noise(900, 8), ""]
+        encode = getattr(encoder, "encode_texts", encoder.encode)
+        for _ in range(2):  # the second time from memory
+            flat, at = encode(pa.array(texts, pa.string()))
+            for t, a, b in zip(texts, at[:-1], at[1:]):
+                assert flat[a:b].tolist() == ref.encode(t, add_special_tokens=False).ids, t
+
+
+def test_memory_of_pieces_is_bounded_and_exact(byte, monkeypatch):
+    from ledgerlake.llm import pieces
+
+    ref = Tokenizer.from_file(BYTE)
+    encoder = bpe.Encoder(byte, None)
+    encoder.cache = pieces.IdCache(limit=20_000)
+    r = random.Random(4)
+    for k in range(12):
+        texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 12))) for _ in range(60)) for _ in range(5)]
+        flat, at = encoder.encode_texts(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [ref.encode(t, add_special_tokens=False).ids for t in texts]
+        assert k < 2 or len(encoder.cache.keys) < 600
+    # pieces whose hashes are equal are told apart by their bytes
+    monkeypatch.setattr(pieces, "hash_ranges", lambda data, starts, stops: (stops - starts).astype(np.uint64) % np.uint64(3))
+    encoder.cache = pieces.IdCache()
+    for _ in range(2):
+        flat, at = encoder.encode_texts(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [ref.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_long_pieces_merge_as_short_ones(byte):
     r = random.Random(1)
     for n in (300, 999):
         w = "".join(r.choice("aAeEnst") for _ in range(n)).encode()
-        ids = [byte.single[b] for b in w]
+        ids = [int(byte.single[b]) for b in w]
         assert byte.decode(byte._merge_long(list(ids))) == w
         assert byte._merge_long(list(ids)) == Tokenizer.from_file(BYTE).encode(w.decode(), add_special_tokens=False).ids
 
@@ -47,12 +80,17 @@ def test_lexicon_is_exact_and_minimal():
     words = {f"{a}{b}tion".encode(): [i, i + 1] for i, (a, b) in enumerate((x, y) for x in "abcdef" for y in ("re", "na", ""))}
     data = bpe.compile_lexicon(words.items())
     lex = bpe.Lexicon(data)
-    assert {w: lex.ids(r) for w, r in zip(words, lex.ranks(list(words)).tolist())} == words
-    assert lex.ranks([b"", b"a", b"ation", b"ationn", b"zz", b"x" * 99]).tolist()[2] >= 0
-    assert [x < 0 for x in lex.ranks([b"", b"a", b"ationn", b"zz", b"x" * 99]).tolist()] == [True] * 5
+
+    def ranks(lexicon, asked):
+        ends = np.cumsum([len(w) for w in asked])
+        return lexicon.ranks(np.frombuffer(b"".join(asked), np.uint8), ends - [len(w) for w in asked], ends).tolist()
+
+    assert {w: lex.ids(r) for w, r in zip(words, ranks(lex, list(words)))} == words
+    assert ranks(lex, [b"", b"a", b"ation", b"ationn", b"zz", b"x" * 99])[2] >= 0
+    assert [x < 0 for x in ranks(lex, [b"", b"a", b"ationn", b"zz", b"x" * 99])] == [True] * 5
     # all words share one path for "tion", and all first letters one state after it
     assert len(lex.final) == 1 + 1 + 2 + 1 + 4
-    assert bpe.Lexicon(bpe.compile_lexicon([])).ranks([b"a"]).tolist() == [-1]
+    assert ranks(bpe.Lexicon(bpe.compile_lexicon([])), [b"a"]) == [-1]
 
 
 def test_documents_encode_as_the_library(spark):
