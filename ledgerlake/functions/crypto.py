@@ -18,9 +18,62 @@ def subkey(master: bytes, label: str) -> bytes:
 
 
 def derive_master(password: str, salt: bytes, m_kib: int = 8192, t: int = 2, p: int = 1) -> bytes:
-    """32 bytes from a password, on the driver."""
-    n = 1 << max(10, (max(m_kib, 1) // max(t, 1)).bit_length() - 1)
-    return hashlib.scrypt(password.encode(), salt=salt, n=min(n, 1 << 14), r=8, p=p, maxmem=1 << 27, dklen=32)
+    """32 bytes from a password, on the driver: t rounds, each with m_kib of memory (rounded down to a power of two)."""
+    n = 1 << max(m_kib, 1).bit_length() - 1  # 128 * n * r bytes with r = 8 are n KiB
+    out = password.encode()
+    for _ in range(max(t, 1)):
+        out = hashlib.scrypt(out, salt=salt, n=n, r=8, p=p, maxmem=128 * 8 * (n + p + 2) + (1 << 20), dklen=32)
+    return out
+
+
+class Redacted:
+    """Bytes that printing doesn't show."""
+
+    def __init__(self, value: bytes):
+        self.value = bytes(value)
+
+    def __repr__(self) -> str:
+        return f"Redacted({len(self.value)} bytes)"
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Redacted) and hmac.compare_digest(self.value, other.value)
+
+    __hash__ = None
+
+
+def decode_space_keys(raw: bytes) -> tuple[bytes, bytes]:
+    """Container id and master key of 64 exported bytes."""
+    from ..errors import Malformed
+
+    if len(raw) != 64:
+        raise Malformed(f"space keys of {len(raw)} bytes")
+    return bytes(raw[:32]), bytes(raw[32:])
+
+
+def random_bytes(n: int) -> bytes:
+    import os
+
+    return os.urandom(n)
+
+
+def maintenance_delay_ms(least: int, most: int) -> int:
+    """A delay for deferred maintenance, uniform in [least, most] milliseconds."""
+    import secrets
+
+    if not 0 <= least <= most or most - least >= 1 << 32:
+        raise ValueError(f"no window: {least} to {most} ms")
+    return least + secrets.randbelow(most - least + 1)
+
+
+def sealed(value: Column, key: bytes, aad: Column) -> Column:
+    """A value encrypted under a space's key, bound to the associated bytes. The key is a literal of the plan: set
+    spark.sql.redaction.string.regex where plans are shown to others."""
+    return F.aes_encrypt(value, F.lit(bytearray(key)), F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), aad)
+
+
+def unsealed(value: Column, key: bytes, aad: Column) -> Column:
+    """The value again; the query fails if it, or what it is bound to, was changed."""
+    return F.aes_decrypt(value, F.lit(bytearray(key)), F.lit("GCM"), F.lit("DEFAULT"), aad)
 
 
 def _key(owner: Column) -> Column:

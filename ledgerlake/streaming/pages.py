@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, functions as F
 
 from ..operators import reads
+from ..operators.ranks import global_rank
 
 Source = DataFrame | Callable[[], DataFrame]
 
@@ -37,6 +38,18 @@ def range_pages(source: Source, namespace: int, start: int, end: int, size: int)
         start = page[-1].log_id + 1
 
 
+def page_table(log: DataFrame, namespace: int, size: int, after: int | None = None, before: int | None = None, backward: bool = False) -> DataFrame:
+    """log_id and page: which page of a stream between two exclusive cursors has each record. The pages as one lazy table, for consumers that read many of them: ranks are numbered in ranges, no page comes to the driver."""
+    rows = log.where(F.col("namespace") == namespace)
+    if after is not None:
+        rows = rows.where(F.col("log_id") > after)
+    if before is not None:
+        rows = rows.where(F.col("log_id") < before)
+    rows = rows.select("namespace", (-F.col("log_id") if backward else F.col("log_id")).alias("at"))
+    ranked = global_rank(rows, "namespace", "at")
+    return ranked.select((-F.col("at") if backward else F.col("at")).alias("log_id"), F.floor(F.col("rk") / size).alias("page"))
+
+
 def stream(spark, path: str, schema: str = "namespace smallint, log_id long, payload binary", files_per_batch: int = 1) -> DataFrame:
     """A growing folder of log records as a structured stream, a few files a micro-batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
