@@ -164,3 +164,11 @@ def settled(state: Column) -> Column:
 
 def may_have_mutated(state: Column) -> Column:
     return state != "never_started"
+
+
+def preset_memory(name: Column) -> Column:
+    """KiB of memory that a named cost takes; null for names that aren't any."""
+    out = F.lit(None).cast("int")
+    for preset, (m, _, _) in PRESETS.items():
+        out = F.when(name == preset, m).otherwise(out)
+    return out

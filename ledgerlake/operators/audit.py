@@ -8,12 +8,40 @@ from pyspark.sql import DataFrame, Window, functions as F
 def reachable(roots: DataFrame, edges: DataFrame, max_depth: int = 12) -> DataFrame:
     """slot, depth of all nodes below the roots (slot). A node is visited once for each depth; depth is bounded, so forged cycles end."""
     front = seen = roots.select("slot", F.lit(0).alias("depth")).distinct()
+    down = edges.select(F.col("parent_slot").alias("slot"), "child_slot")
     for depth in range(1, max_depth + 1):
-        front = front.join(edges.select(F.col("parent_slot").alias("slot"), "child_slot"), "slot").select(F.col("child_slot").alias("slot"), F.lit(depth).alias("depth")).distinct()
+        front = front.join(down, "slot").select(F.col("child_slot").alias("slot"), F.lit(depth).alias("depth")).distinct()
         seen = seen.union(front)
     return seen.groupBy("slot").agg(F.min("depth").alias("depth"))
 
 
+def traversal_faults(roots: DataFrame, edges: DataFrame, max_depth: int, budget: int) -> DataFrame:
+    """fault, slot: nodes at the deepest level that is allowed though it isn't a leaf's (depth), more nodes than the container has chunks (budget), nodes with several parents (seen twice)."""
+    found = reachable(roots, edges, max_depth)
+    deep = found.where(F.col("depth") >= max_depth).select(F.lit("depth").alias("fault"), "slot")
+    many = found.agg(F.count("*").alias("n")).where(F.col("n") > budget).select(F.lit("budget").alias("fault"), F.lit(None).cast("long").alias("slot"))
+    return deep.union(many).union(seen_twice(edges).select(F.lit("seen twice").alias("fault"), "slot"))
+
+
+def fast_open(chunks: DataFrame, named: DataFrame, high_water: int) -> DataFrame:
+    """Chunks that a checkpoint leaves to look at: those it names below its high-water mark, and all from there on."""
+    low = chunks.where(F.col("slot") < high_water).join(named.select("slot").distinct(), "slot", "left_semi")
+    return low.unionByName(chunks.where(F.col("slot") >= high_water))
+
+
+def other_namespace(nodes: DataFrame, told: str = "namespace", expected: str = "root_namespace") -> DataFrame:
+    """Nodes that say another namespace than the root that they hang from."""
+    return nodes.where(F.col(told) != F.col(expected))
+
+
+def subtree(nodes: DataFrame, edges: DataFrame, again: DataFrame) -> DataFrame:
+    """fault, slot of all nodes below one root: another namespace (told), a hash that isn't the pointer's, several parents.
+    nodes: slot, namespace, told, payload_hash; edges: parent_slot, child_slot, child_hash; again: further pointers."""
+    one = lambda name, rows, slot="slot": rows.select(F.lit(name).alias("fault"), F.col(slot).alias("slot"))
+    found = one("namespace", other_namespace(nodes, "told", "namespace")).union(one("hash", hash_mismatch(edges, nodes), "child_slot"))
+    return found.union(one("seen twice", seen_twice(edges.unionByName(again))))
+
+
 def orphans(owned: DataFrame, kept: DataFrame, by: str = "slot") -> DataFrame:
     return owned.join(kept.select(by).distinct(), by, "left_anti")
 
@@ -47,14 +75,6 @@ def root_hash(roots: DataFrame) -> DataFrame:
     return roots.agg(F.sha2(F.unhex(F.array_join(F.transform(ordered, lambda r: r.root_hash), "")), 256).alias("tx_root_hash"))
 
 
-def state_hash(state: DataFrame, by: str, value: str) -> DataFrame:
-    """A hash of each namespace's logical content that doesn't depend on how it was written: entry hashes are added up
-    (in two halves, without overflow), so no group is gathered."""
-    h = F.sha2(F.concat(F.hex(by), F.lit(":"), F.hex(value)).cast("binary"), 256)
-    part = lambda a: F.conv(F.substring(h, a, 12), 16, 10).cast("decimal(38,0)")
-    return state.groupBy("namespace").agg(F.sum(part(1)).cast("string").alias("sum1"), F.sum(part(13)).cast("string").alias("sum2"), F.count("*").alias("n"))
-
-
 def report(nodes: DataFrame, index: DataFrame) -> DataFrame:
     """One row: nodes and the commit verified, levels, entries, distinct batches."""
     a = nodes.agg((F.count("*") + 1).alias("chunks_verified"), F.max("level").alias("top"))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .ranks import with_range
+
 KEYS = ("namespace", "key")
 
 
@@ -33,20 +35,27 @@ def erase(state: DataFrame, namespace: int) -> DataFrame:
     return state.where(F.col("namespace") != namespace)
 
 
-def tombstones(state: DataFrame, namespace: int, seq: int) -> DataFrame:
-    """The same as operations: one tombstone for each key."""
-    return state.where(F.col("namespace") == namespace).select(F.lit(seq).cast("long").alias("seq"), F.lit(0).cast("long").alias("op_ord"), "namespace", "key", F.lit(None).cast("binary").alias("value"), F.lit(True).alias("is_delete"))
-
-
 def carry_forward(prior: DataFrame, new: DataFrame) -> DataFrame:
     """Roots of a new version: those of touched namespaces from the new ones, all others as they were."""
     return prior.join(new.select("namespace"), "namespace", "left_anti").unionByName(new)
 
 
 def out_of_order(rows: DataFrame, by: str = "key") -> DataFrame:
-    """Neighbours in row order (`ord`) within a namespace whose keys don't rise: there should be none."""
-    before = F.lag(by).over(Window.partitionBy("namespace").orderBy("ord"))
-    return rows.withColumn("before", before).where(F.col("before") >= F.col(by)).drop("before")
+    """Neighbours in row order (`ord`) within a namespace whose keys don't rise: there should be none.
+
+    Rows are looked at in ranges of `ord`, and each range hands its last key on to the next, so no namespace is in one task."""
+    ranged = with_range(rows, "ord")
+    here = Window.partitionBy("namespace", "_range").orderBy("ord")
+    last = rows_last(ranged, by)
+    told = ranged.withColumn("_lag", F.lag(by).over(here)).join(last, ["namespace", "_range"], "left")
+    before = F.when(F.row_number().over(here) == 1, F.col("_before")).otherwise(F.col("_lag"))
+    return told.withColumn("_prior", before).where(F.col("_prior") >= F.col(by)).select(*rows.columns)
+
+
+def rows_last(ranged: DataFrame, by: str) -> DataFrame:
+    """For each range of a namespace the key that comes right before it: as many rows as ranges."""
+    ends = ranged.groupBy("namespace", "_range").agg(F.max_by(by, "ord").alias("_end"))
+    return ends.select("namespace", "_range", F.lag("_end").over(Window.partitionBy("namespace").orderBy("_range")).alias("_before"))
 
 
 def invalid(ops: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ranks import global_rank
 
@@ -24,13 +24,19 @@ def below_and_unowned(pool: DataFrame, owned: DataFrame, high_water: int) -> Dat
 
 
 def rank_select(a: DataFrame, r: int) -> DataFrame:
-    """The member with r smaller ones: a top-k of r + 1, then its last."""
-    return a.select("slot").distinct().orderBy("slot").limit(r + 1).orderBy(F.desc("slot")).limit(1) if r >= 0 else a.select("slot").limit(0)
+    """The member with r smaller ones, none if there aren't as many; numbered in ranges, whatever r is."""
+    return global_rank(a.select("slot", F.lit(0).alias("_one")).distinct(), "_one", "slot").where(F.col("rk") == r).select("slot")
 
 
 def sample(a: DataFrame, n: int, seed: int) -> DataFrame:
     """n members drawn without replacement; the same ones for a seed."""
-    return a.select("slot").distinct().orderBy(F.xxhash64("slot", F.lit(seed)), "slot").limit(n)
+    return a.select("slot").distinct().orderBy(F.md5(F.concat_ws(":", "slot", F.lit(seed)).cast("binary")), "slot").limit(n)
+
+
+def garbage(spark: SparkSession, first_slot: int, n: int, size: int = 4056) -> DataFrame:
+    """n chunks of random bytes: slot, payload."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(-(-size // 32))), lambda i: F.sha2(F.concat_ws(":", F.uuid(), i).cast("binary"), 256)), "")
+    return spark.range(first_slot, first_slot + n).select(F.col("id").alias("slot"), F.substring(F.unhex(words), 1, size).alias("payload"))
 
 
 def numbered_pages(a: DataFrame, by: str, size: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import scalar as S
 from ..operators import audit, catalog, fold, maintain, ranks, reads, sets
 from ..sources import fixtures as X
+from ..streaming import pages
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -306,7 +307,7 @@ def _(spark, sf):
     return X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("x"), F.lower(F.lpad(F.conv(h.cast("string"), 10, 16), 16, "0")).alias("h"))
 
 
-@query("F5_boundaries")
+@query("F5_boundaries", "WITH k AS (SELECT o_orderkey, o_orderpriority || '-' || o_orderkey AS key FROM orders), h AS (SELECT o_orderkey, strlen(key) + 6 AS cost, CAST(CAST('0x' || sha256(encode('boundary:') || '\\x00'::BLOB || encode(key))[1:16] AS UBIGINT) AS HUGEINT) AS hash FROM k) SELECT o_orderkey AS x, hash * 2040 * 6 < CAST(cost AS HUGEINT) * 18446744073709551616 AS ends FROM h")
 def _(spark, sf):
     key = F.concat_ws("-", "o_orderpriority", "o_orderkey").cast("binary")
     h = S.boundary_hash(F.lit(0), key)
@@ -415,9 +416,9 @@ def _(spark, sf):
     return sets.union(_slots(spark, sf, "orders", "o_custkey"), _slots(spark, sf, "lineitem", "l_partkey"))
 
 
-@query("O6_difference", "SELECT c_custkey AS slot FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("O6_difference", "SELECT o_orderkey AS slot FROM orders EXCEPT SELECT l_partkey FROM lineitem")
 def _(spark, sf):
-    return sets.difference(_slots(spark, sf, "customer", "c_custkey"), _slots(spark, sf, "orders", "o_custkey"))
+    return sets.difference(_slots(spark, sf, "orders", "o_orderkey"), _slots(spark, sf, "lineitem", "l_partkey"))
 
 
 @query("O7_members", "SELECT c_custkey AS slot FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -430,7 +431,7 @@ def _(spark, sf):
     return sets.rank_select(_slots(spark, sf, "orders", "o_orderkey"), 77)
 
 
-@query("O9_sample")
+@query("O9_sample", "SELECT slot FROM (SELECT DISTINCT o_orderkey AS slot FROM orders) ORDER BY md5(slot || ':7'), slot LIMIT 100")
 def _(spark, sf):
     return sets.sample(_slots(spark, sf, "orders", "o_orderkey"), 100, 7)
 
@@ -440,19 +441,16 @@ def _(spark, sf):
     return sets.below_and_unowned(_slots(spark, sf, "orders", "o_orderkey"), _slots(spark, sf, "lineitem", "l_partkey"), 5000)
 
 
-@query("T1_pages", f"WITH {ENT} SELECT namespace, log_id, rk // 50 AS page FROM idx")
+@query("T1_pages", f"WITH {LOG} SELECT log_id, (row_number() OVER (ORDER BY log_id) - 1) // 50 AS page FROM log WHERE namespace = 5 AND log_id > 1000000")
 def _(spark, sf):
-    return sets.numbered_pages(X.log_state(spark, sf).select("namespace", "log_id"), "log_id", 50)
+    """The pages that a forward stream gives, as one table."""
+    return pages.page_table(X.log_state(spark, sf), 5, 50, after=1000000)
 
 
 @query("T3_range_pages", f"WITH {LOG} SELECT log_id, (row_number() OVER (ORDER BY log_id) - 1) // 20 AS page FROM log WHERE namespace = 3 AND log_id >= 65536 AND log_id < 2621440")
 def _(spark, sf):
-    """The pages that a range stream gives, one after the other."""
-    from ..streaming import pages
-
-    log = X.log_state(spark, sf).where("namespace = 3")
-    rows = [(r.log_id, i) for i, page in enumerate(pages.range_pages(log, 3, 65536, 2621440, 20)) for r in page]
-    return spark.createDataFrame(rows, "log_id long, page long")
+    """The pages that a range stream gives, as one table."""
+    return pages.page_table(X.log_state(spark, sf), 3, 20, after=65535, before=2621440)
 
 
 @query("S_media_chunks", "WITH d AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents), c AS (SELECT t, unnest(range(greatest(CAST(ceil(strlen(t) / 2048) AS BIGINT), 1))) AS i FROM d) SELECT count(*) AS chunks, CAST(sum(least(2048, strlen(t) - i * 2048)) AS BIGINT) AS bytes FROM c")
@@ -460,12 +458,6 @@ def _(spark, sf):
     return X.media(spark, sf).agg(F.count("*").alias("chunks"), F.sum(F.octet_length("value")).alias("bytes"))
 
 
-@query("S5_header", "SELECT 65536 AS m_cost_kib, 3 AS t_cost, 1 AS p_cost, 3 AS version, 'none' AS padding")
-def _(spark, sf):
-    m, t, p = S.PRESETS["default"]
-    return spark.range(1).select(F.lit(m).alias("m_cost_kib"), F.lit(t).alias("t_cost"), F.lit(p).alias("p_cost"), F.lit(S.PARAMS_VERSION).alias("version"), F.when(S.padding_index(F.lit(3)) == 0, "none").alias("padding"))
-
-
 @query("S6_trial_decrypt", f"WITH {KV} SELECT hex(key) AS key, hex(value) AS value FROM kv WHERE namespace = 2 AND substr(key, 18) IN ('0', '3', '6', '9')")
 def _(spark, sf):
     """Sealed rows of two owners; one owner's key opens only its own."""
@@ -482,3 +474,6 @@ def _(spark, sf):
     from ..functions import crypto
 
     return crypto.split_batches(X.log_state(spark, sf).where("namespace = 3"))
+
+
+from . import chunks  # noqa: E402, F401 - registers its queries

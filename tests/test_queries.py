@@ -46,3 +46,51 @@ def test_pages_plan_as_top_k_with_pushed_filters(spark, sf, tmp_path):
     log = spark.read.parquet(str(tmp_path / "log"))
     plan = reads.log_before(log, 3, 5_000_000, 50)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan and "LessThan(log_id,5000000)" in plan
+
+
+def test_batches_fit_and_keep_order(spark, sf):
+    import zstandard
+
+    from ledgerlake.functions import crypto
+
+    log = fixtures.log_state(spark, sf).where("namespace = 3")
+    payload = {r.log_id: bytes(r.payload) for r in log.collect()}
+    batches = {}
+    for r in registry.queries()["W11_batch_split"](spark, sf).collect():
+        batches.setdefault(r.batch, []).append(r.log_id)
+    assert sorted(i for ids in batches.values() for i in ids) == sorted(payload)
+    size = lambda ids: len(zstandard.ZstdCompressor(level=3).compress(b"".join(i.to_bytes(8, "little") + len(payload[i]).to_bytes(4, "little") + payload[i] for i in ids)))
+    ranked = {i: k for k, i in enumerate(sorted(payload))}
+    for batch, ids in batches.items():
+        ids.sort()
+        assert len(ids) <= crypto.BATCH_RECORDS and size(ids) <= crypto.BATCH_BYTES
+        assert [ranked[i] for i in ids] == list(range(ranked[ids[0]], ranked[ids[0]] + len(ids)))  # neighbours by id
+    # a stretch is halved, so two neighbours that came from one half wouldn't have fitted together
+    stretch = [i for i in sorted(payload)[: crypto.BATCH_RECORDS]]
+    assert size(stretch) <= crypto.BATCH_BYTES or len([b for b in batches if b.startswith("0-")]) > 1
+
+
+def test_codecs_refuse_what_breaks_a_rule(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlake.functions import codecs as C
+
+    one = spark.createDataFrame([(b"a", b"1", b"b", b"")], "k binary, v binary, k2 binary, v2 binary")
+    entry = lambda k, v: F.struct(F.col(k).alias("key"), F.col(v).alias("value"))
+    told = one.select(
+        C.decode_leaf(C.encode_leaf(F.lit(3), F.array(entry("k", "v"), entry("k2", "v2")))).alias("good"),
+        C.decode_leaf(C.encode_leaf(F.lit(3), F.array(entry("k2", "v2"), entry("k", "v")))).alias("order"),
+        C.decode_leaf(F.concat(C.encode_leaf(F.lit(3), F.array(entry("k", "v"))), F.lit(b"x"))).alias("longer"),
+        C.decode_leaf(F.unhex(F.lit("0003FFFF"))).alias("count"),
+        C.decode_internal(C.encode_leaf(F.lit(3), F.array(entry("k", "v")))).alias("kind"),
+        C.decode_leaf(C.encode_leaf(F.lit(3), F.expr("cast(array() as array<struct<key:binary,value:binary>>)"))).alias("empty"),
+        C.encode_frame(F.lit(1), F.lit(5), F.unhex(F.repeat(F.lit("00"), 4041))).alias("large"),
+        C.decode_frame(F.lit(b"short")).alias("short"),
+        C.decode_commit(F.lit(b"\xff\xff")).alias("commit"),
+        C.decode_checkpoint(F.unhex(F.lit("00" * 24 + "FFFFFFFF" + "00000000"))).alias("checkpoint"),
+        C.unframe_keys(F.unhex(F.lit("0200000001000000"))).alias("keys"),
+        C.unframe_keys(C.frame_keys(F.array("k", "v2", "k2"))).alias("framed"),
+        C.split_space_keys(F.lit(b"x" * 63)).alias("space"),
+    ).first()
+    assert [(bytes(e.key), bytes(e["value"])) for e in told.good["items"]] == [(b"a", b"1"), (b"b", b"")] and told.empty["items"] == [] and [bytes(k) for k in told.framed] == [b"a", b"", b"b"]
+    assert all(told[c] is None for c in ("order", "longer", "count", "kind", "large", "short", "commit", "checkpoint", "keys", "space"))
