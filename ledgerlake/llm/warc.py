@@ -6,15 +6,15 @@ have ids that are a hash of that id and the record type, so that a repeated run
 sha256 in the notation algorithm:value. All of it is row by row in built-in functions: nothing is shuffled.
 
 HTML becomes text by these rules: comments and script, style, noscript, template and svg go with their
-content; tags of blocks end a line, other tags vanish; the entities of ENTITIES are resolved once (others stay);
+content, one that isn't closed with the rest of the page, as in browsers (so each costs one pass over the page); tags of blocks end a line, other tags vanish; the entities of ENTITIES are resolved once (others stay);
 white space is collapsed, empty lines go.
 
 The metadata record has the status code and every header line of the response as http-<name>: <value>, in their order,
 names in lower case, folded lines as one; without a Content-Type that field stands empty.
 
 Defined cases: null headers are none; a null body is empty and gives an empty conversion; a null URI is written as an empty field; repeated
-rows give repeated records with the same ids; extra columns of responses() input are ignored, those of derivatives()
-pass through by name in `carry`.
+rows give repeated records with the same ids, as the same response; an empty table gives no rows; extra columns of responses()
+input are ignored, those of derivatives() pass through by name in `carry`, with an underscore after a name that the records have.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: What vanishes with its content, tags that end a line, entities.
-HIDDEN = r"(?is)<(?:!--.*?--|script\b.*?</script\s*|style\b.*?</style\s*|noscript\b.*?</noscript\s*|template\b.*?</template\s*|svg\b.*?</svg\s*)>"
+HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|noscript\b.*?(?:</noscript\s*>|\z)|template\b.*?(?:</template\s*>|\z)|svg\b.*?(?:</svg\s*>|\z))"
 BLOCK = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|dl|dt|dd|tr|td|th|table|thead|tbody|section|article|aside|main|nav|header|footer|form|blockquote|pre|hr|title|head|body|html|figure|figcaption)\b[^>]*>"
 TAG = r"<[^>]*>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
@@ -52,8 +52,14 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(x, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
+def _tags_replaced(text: Column, pattern: str, by: str) -> Column:
+    """Tags end with >, so none is looked for after the last one: a page with many < and no > would be read once for each."""
+    rest = F.substring_index(text, ">", -1)
+    return F.concat(F.regexp_replace(F.left(text, F.length(text) - F.length(rest)), pattern, by), rest)
+
+
 def plain_text(html: Column) -> Column:
-    return clean(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), BLOCK, "\n"), TAG, ""))
+    return clean(_tags_replaced(_tags_replaced(F.regexp_replace(html, HIDDEN, ""), BLOCK, "\n"), TAG, ""))
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -67,6 +73,11 @@ def _first(text: Column, pattern: str) -> Column:
     return F.regexp_extract(text, pattern, 1)
 
 
+def _title(body: Column) -> Column:
+    """Without an end tag there is none to look for."""
+    return F.when(body.rlike("(?i)</title"), _first(body, TITLE)).otherwise("")
+
+
 def _http_fields(headers: Column) -> Column:
     """The header lines after the status line, each as a line of warc-fields that follows another."""
     every = F.split(F.regexp_replace(headers, r"\r?\n[ \t]+", " "), r"\r?\n")
@@ -81,7 +92,7 @@ def derivatives(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     found = records.withColumn("_text", plain_text(body)).withColumn(
         "_meta",
         F.concat(
-            F.lit("title: "), F.replace(clean(F.regexp_replace(_first(body, TITLE), TAG, "")), F.lit("\n"), F.lit(" ")),
+            F.lit("title: "), F.replace(clean(F.regexp_replace(_title(body), TAG, "")), F.lit("\n"), F.lit(" ")),
             F.lit("\r\nhttp-status: "), _first(headers, r"^HTTP/\S+ (\d{3})"), _http_fields(headers),
             F.lit("\r\nlanguage: "), F.lower(_first(body, LANG)),
             F.lit("\r\ncharset: "), F.lower(_first(body, CHARSET)),
@@ -93,9 +104,13 @@ def derivatives(records: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
     kind = lambda name, type_, block: F.struct(F.lit(name).alias("record_type"), F.lit(type_).alias("content_type"), block.alias("block"))
     both = F.array(kind("metadata", "application/warc-fields", F.col("_meta")), kind("conversion", "text/plain; charset=utf-8", F.col("_text")))
-    rows = found.select(*carry, F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("payload_digest").alias("source_payload_digest"), F.explode(both).alias("r"))
-    made = rows.select(*carry, "r.record_type", record_id(F.concat_ws(" ", "r.record_type", "refers_to")).alias("record_id"), "refers_to", "target_uri", "date", "source_payload_digest", "r.content_type", "r.block")
-    return made.withColumn("block_digest", digest(F.col("block"))).withColumn("content_length", F.octet_length("block").cast("long"))
+    kept = F.struct(F.lit(0), *(F.col(f"`{c}`") for c in carry)).alias("kept")
+    rows = found.select(kept, F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("payload_digest").alias("source_payload_digest"), F.explode(both).alias("r"))
+    own = {
+        "record_type": F.col("r.record_type"), "record_id": record_id(F.concat_ws(" ", "r.record_type", "refers_to")), "refers_to": F.col("refers_to"), "target_uri": F.col("target_uri"), "date": F.col("date"),
+        "source_payload_digest": F.col("source_payload_digest"), "content_type": F.col("r.content_type"), "block": F.col("r.block"), "block_digest": digest(F.col("r.block")), "content_length": F.octet_length("r.block").cast("long"),
+    }
+    return rows.select(*(F.col("kept")[c].alias(c + "_" * (c in own)) for c in carry), *(x.alias(c) for c, x in own.items()))
 
 
 def serialized(records: DataFrame) -> Column:
