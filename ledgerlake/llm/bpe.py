@@ -20,7 +20,8 @@ import hashlib
 import json
 import mmap
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, hadoop_fs, over_chunks, raw_texts, shared_dir
+from .common import Scratch, hadoop_fs, kept, over_chunks, raw_texts, tidy
 from .pieces import IdCache, Pieces, byte_classes, byte_pieces, ranges
 
 #: Words in the lexicon at most, and bytes in one of them.
@@ -146,7 +147,7 @@ class Merges:
     WIDTHS, BLOCK = (3, 4, 6, 8, 10, 12, 16, 24, 32, 64), 16_384
 
     def __init__(self, single: list[int], last: list[int], merges: dict[tuple[int, int], tuple[int, int]]):
-        self.single, self.last, self.merges = np.array(single, np.int32), np.array(last, np.int32), merges
+        self.single, self.last = np.array(single, np.int32), np.array(last, np.int32)
         keys = np.array([x << 32 | y for x, y in merges], np.int64)
         order = np.argsort(keys)
         ranks = np.array([r for r, _ in merges.values()], np.int32)
@@ -177,6 +178,12 @@ class Merges:
             out[left] = np.where(self.pair_keys[at] == key, self.pair_ranks[at], self.no_rank)
         return out.reshape(a.shape)
 
+    @cached_property
+    def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Pairs as a dictionary, for the few words that are merged by themselves."""
+        told = zip((self.pair_keys >> 32).tolist(), (self.pair_keys & 0xFFFFFFFF).tolist(), self.pair_ranks.tolist(), self.made[self.pair_ranks].tolist())
+        return {(a, b): (rank, new) for a, b, rank, new in told}
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of one piece: the pair that comes first in the merge list is merged, leftmost first, until none is left."""
         ids = [int(self.single[b]) for b in word]
@@ -337,19 +344,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_loaded: dict[str, object] = {}
-
-
-def _once(key: str, make: Callable[[], object]):
-    """Made once in a worker process; of each kind the last is kept."""
-    kind = key.split(":", 1)[0]
-    if key not in _loaded:
-        for old in [k for k in _loaded if k.startswith(kind + ":")]:
-            del _loaded[old]
-        _loaded[key] = make()
-    return _loaded[key]
-
-
 class Encoder:
     """Encodes texts with a lexicon and, for pieces that it lacks, the merges."""
 
@@ -406,6 +400,7 @@ class Encoder:
 def count_words(docs: DataFrame) -> DataFrame:
     """word (as a piece after a space, binary) and how often it occurs in all texts."""
 
+    @tidy
     def run(batches):
         seen: Counter[bytes] = Counter()
 
@@ -463,15 +458,12 @@ def build_lexicon(words: list[bytes], bpe: ByteBpe, limit: int = LEXICON_WORDS)
 def share_file(spark: SparkSession, data: bytes, kind: str) -> str:
     """The name of a file with these bytes that SparkFiles.get() finds on each executor."""
     name = f"{kind}-{hashlib.sha256(data).hexdigest()[:24]}"
-    path = f"{shared_dir(spark)}/files/{name}"
-    fs, p = hadoop_fs(spark, path)
-    if not fs.exists(p):
+    if name not in {x.rsplit("/", 1)[-1] for x in spark.sparkContext.listFiles}:
+        fs, p = hadoop_fs(spark, f"{Scratch(spark, 'files').root}/{name}")  # goes when the session's process ends
         stream = fs.create(p, True)
         stream.write(bytearray(data))
         stream.close()
         spark.sparkContext.addFile(fs.makeQualified(p).toString())
-    elif name not in {x.rsplit("/", 1)[-1] for x in spark.sparkContext.listFiles}:
-        spark.sparkContext.addFile(fs.makeQualified(p).toString())
     return name
 
 
@@ -481,8 +473,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False, li
     name = share_file(spark, build_lexicon(frequent_words(docs, limit), ByteBpe(tokenizer), limit), "lexicon")
 
     def digest(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch:
-        bpe = _once(f"bpe:{tokenizer}", lambda: ByteBpe(tokenizer))
-        encoder = _once(f"encoder:{tokenizer}:{name}", lambda: Encoder(bpe, Lexicon.open(SparkFiles.get(name))))
+        encoder = kept("encoder", lambda: Encoder(ByteBpe(tokenizer), Lexicon.open(SparkFiles.get(name))))
         flat, at = encoder.encode_texts(text)
         told, back = encoder.digits[flat].tolist(), encoder.bytes_of[flat].tolist()
         sums, decoded = [], []

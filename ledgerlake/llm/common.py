@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a Python worker looks at in one go; longer single texts form a chunk of their own.
 CHUNK_BYTES = 1 << 20
@@ -24,10 +24,36 @@ def hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Has Spark send rows to Python in batches of some MB, if the session leaves that at the default (64 MB a batch, of which the JVM and the worker hold several)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, size)
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that a frame reads; 0 if one of them tells no size."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if max(sizes, default=0) < 1 << 60 else 0
+
+
+def partitions(docs: DataFrame, factor: float = 1.0, each: int = 64 << 20) -> int:
+    """How many partitions rows of about `factor` times the bytes of docs are dealt out to: the session's number, or more, so that one has some `each` bytes."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(input_bytes(docs) * factor) // each, 1)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) a folder in the warehouse."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session (as in tests) takes a folder in its warehouse; on a cluster that would be each machine's own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return found.rstrip("/")
 
@@ -42,6 +68,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        bounded_batches(spark)
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -91,9 +118,45 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
         a = b
 
 
+#: What the functions of a task keep from chunk to chunk, by name; see kept().
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """Made once in a task, and given back at its end (release())."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release() -> None:
+    """Gives memory back at the end of a task. Spark uses a Python worker again for later tasks, so what one of them leaves would be there in all stages to come."""
+    import ctypes
+
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that gives its memory back when the task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def over_chunks(f: Callable[[pa.RecordBatch, pa.StringArray], pa.RecordBatch | None], column: str = "text", limit: int = CHUNK_BYTES) -> Callable:
     """A function for mapInArrow that applies f to each slice of bounded text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, text in text_chunks(batch, column, limit):

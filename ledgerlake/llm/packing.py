@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import WordBpe, _once
-from .common import Scratch, over_chunks
+from .bpe import WordBpe
+from .common import Scratch, kept, over_chunks
 from .pieces import IdCache, Pieces, ranges, word_classes, word_pieces
 
 SEQUENCE, END_ID = 2048, 0
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, with_ids: bool
     """doc_id, piece, start, length, ids_crc32 (and ids) of each piece."""
 
     def cut(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch:
-        flat, at = _once(f"words:{tokenizer}", lambda: WordEncoder(tokenizer)).encode(text)
+        flat, at = kept("words", lambda: WordEncoder(tokenizer)).encode(text)
         own = np.diff(at)
         doc = np.arange(len(own))
         ids = np.full(len(flat) + len(own), END_ID, "<u4")

@@ -10,8 +10,8 @@ loses more than alpha of its good documents to the rules together. Without enoug
 rules reject nothing.
 
 Defined cases: a null text has no words; null or repeated ids are kept as they are; null strata count as "und"; labels
-with null ids, or a quality other than 0 and 1, don't count; of repeated labels of an id the lowest quality counts;
-extra columns pass through filter_documents() untouched.
+with null ids, or a quality other than 0 and 1, don't count; of repeated labels of an id the lowest quality counts, and of
+rows that share a labelled id one; without a column lang all documents are one stratum; extra columns pass through filter_documents() untouched.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, over_chunks, raw_texts
+from .common import Scratch, columns, over_chunks, raw_texts, tidy
 from .textvec import shingles, text_bytes, words
 
 SYMBOLS = b"#*$%&|<>"
@@ -105,6 +105,10 @@ def rule_values(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {r: c[a] / np.maximum(c[b], 1) for r, (a, b, _) in RULES.items()}
 
 
+def _stratum(docs: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("und")) if name in docs.columns else F.lit("und")
+
+
 def features(docs: DataFrame, text: str = "text", stratum: str = "lang", ids: str = "doc_id") -> DataFrame:
     """doc_id, stratum and the COUNTS of each text, from one scan."""
 
@@ -113,7 +117,7 @@ def features(docs: DataFrame, text: str = "text", stratum: str = "lang", ids: st
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c[k]) for k in COUNTS)], names=["doc_id", "stratum", *COUNTS])
 
     shape = "doc_id long, stratum string, " + ", ".join(f"{k} long" for k in COUNTS)
-    picked = docs.select(F.col(ids).cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("und")).alias("stratum"), F.col(text).cast("string").alias("text"))
+    picked = docs.select(F.col(ids).cast("long").alias("doc_id"), _stratum(docs, stratum).alias("stratum"), F.col(text).cast("string").alias("text"))
     return picked.mapInArrow(over_chunks(count), shape)
 
 
@@ -170,7 +174,10 @@ def fit(found: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[str, d
     """Certified cutoffs; found: features() of documents. Each labelled stratum is certified by itself, in a task, from its
     histogram (rules x grid); what comes to the driver are the cutoffs of strata with labels enough for one."""
     clean = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("good"))
-    known = found.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words"))).join(clean, "doc_id")
+    passed = found.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words")) & F.col("doc_id").isNotNull())
+    # one trial an id: rows that share it aren't independent
+    one = passed.groupBy("doc_id").agg(F.min(F.struct("stratum", *COUNTS)).alias("row")).select("doc_id", "row.*")
+    known = one.join(clean, "doc_id")
 
     def exceeded(a: str, b: str, grid: tuple[float, ...]):
         value = F.col(a) / F.greatest(F.col(b), F.lit(1))
@@ -211,6 +218,7 @@ def judge(found: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:
     """features() with base_failed and kept."""
     shape = found.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", base_failed boolean, kept boolean"
 
+    @tidy
     def run(batches):
         for b in batches:
             c = {k: b.column(k).to_numpy(zero_copy_only=False) for k in COUNTS}
@@ -234,11 +242,14 @@ def filter_documents(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) ->
     found = scratch.save(features(docs), "features")
     cutoffs = fit(found, labels, risk)
     scratch.drop(found)
-    lang = docs.columns.index("lang")
+    # on the way the columns have names of their own, and the stratum is the last of them
+    names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    widened = docs.select(*(c.alias(n) for c, n in zip(columns(docs), names)), _stratum(docs, "lang").alias("stratum"))
 
     def keep(part: pa.RecordBatch, t: pa.StringArray) -> pa.RecordBatch:
         c = text_counts(t)
-        strata = ["und" if x is None else x for x in part.column(lang).to_pylist()]
+        strata = part.column(part.num_columns - 1).to_pylist()
+        part = pa.RecordBatch.from_arrays(part.columns[:-1], schema=pa.schema(list(part.schema)[:-1]))
         return part.filter(pa.array(~base_failed(c) & passes(c, strata, cutoffs)))
 
-    return docs.mapInArrow(over_chunks(keep), docs.schema)
+    return widened.mapInArrow(over_chunks(keep), widened.drop("stratum").schema).toDF(*docs.columns)

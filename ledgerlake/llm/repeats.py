@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import tidy
 from .textvec import U
 
 SHAPE = "key long, owner long, place long"
@@ -43,6 +44,7 @@ def repeated(rows: DataFrame, partitions: int, later: bool = False) -> DataFrame
     salt = F.when(F.col("place").bitwiseAND(F.lit(3)) == _OTHER, F.xxhash64(*names[1:])).otherwise(F.lit(0))
     dealt = rows.repartition(partitions, F.xxhash64("key", salt)).sortWithinPartitions("key", "owner")
 
+    @tidy
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, lowest, open_group = None, None, False  # of the group at the end of the last batch; open_group: known to be repeated
         held: dict[tuple[int, ...], None] = {}  # its distinct rows, all of the smallest owner, while nobody knows

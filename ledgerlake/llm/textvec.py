@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from .common import kept
+
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 3
 _PI = pow(_P, -1, 1 << 64)
@@ -22,7 +24,6 @@ LOWER[65:91] += 32
 _VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 #: A text is hashed in stretches of about so many bytes.
 _STRETCH = 1 << 20
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,18 +36,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, n at least. Those for a stretch are kept, longer ones made anew."""
-    size = max(n, _STRETCH + 1)
-    if size not in _powers:
-        made = []
-        for p in (_P, _PI):
-            x = np.full(size, p, U)
-            x[0] = 1
-            made.append(np.multiply.accumulate(x))
-        if size > _STRETCH + 1:
-            return made[0], made[1]
-        _powers[size] = (made[0], made[1])
-    return _powers[size]
+    """Powers of the multiplier and of its inverse, n at least. Those for a stretch are kept for the task, longer ones made anew."""
+    if n <= _STRETCH + 1:
+        return kept("powers", lambda: _powers(_STRETCH + 1))
+    return _powers(n)
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    made = []
+    for p in (_P, _PI):
+        x = np.full(size, p, U)
+        x[0] = 1
+        made.append(np.multiply.accumulate(x))
+    return made[0], made[1]
 
 
 @dataclass
