@@ -1,11 +1,13 @@
 """Substring dedup by level-wise doubling.
 
-A window of L words is named by a hash of its two halves, so the names at one length come from those at half of it. Only
-windows that repeat at one length are extended to twice that length (13 words from two overlapping windows of 7).
-At the first level each window of the target length stands under the smallest name of the short windows inside it: equal
-windows have equal smallest names, so one short window in four is enough, and a window whose smallest name no other text
-holds has no candidate left. At the second level only the windows that survive get a full name, and the first owner of
-each name is the document with the smallest id. Levels go on until none survives or the target length is reached.
+A window of L words is named by a hash of its two halves, so the names at one length come from those at half of it (two
+overlapping windows where the length is odd). Levels go from short windows to ones of twice their length, up to the target
+length: 7 and 13 words for 13, or 7, 13, 25, 50 for 50. Only windows that repeat at one length are extended to the next;
+the loop ends when no candidate survives.
+At a level below the last each candidate of the target length stands under the smallest name of the windows of the level's
+length inside it: equal candidates have equal smallest names, so one short window in four is enough, and a candidate whose
+smallest name no other text holds doesn't survive. At the last level only the candidates that survived get a full name, and
+the first owner of each name is the document with the smallest id.
 
 Texts with the same words are one text up to the end: the smallest doc_id stands for them, and of the others every
 window repeats. Names are exchanged through repeats.repeated(): one shuffle a level, no group in one task, no pairs.
@@ -13,18 +15,21 @@ Texts are shuffled by the hash of their words, once.
 
 Defined cases: a null text has no words; texts below the window length lose nothing; rows that share a doc_id count as
 one document with several texts (a window isn't removed for standing in another text of the same id); null ids come
-after all others; columns besides doc_id and text aren't read.
+after all others (the id 2**63 - 1 counts as one document with them); an empty table gives no rows; of other columns, whatever
+their names, those asked for come back as they were.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import Scratch, over_chunks
+from .common import Scratch, columns, over_chunks, partitions, tidy
 from .repeats import TEXT_SHAPE, marked, repeated
 from .textvec import U, Words, mix, words
 
@@ -45,14 +50,18 @@ def names(h: np.ndarray, length: int) -> np.ndarray:
     return s
 
 
-def half(window: int) -> int:
-    return (window + 1) // 2
+def levels(window: int) -> list[int]:
+    """The lengths of windows, each at most twice the one before, up to the target."""
+    out = [window]
+    while out[0] > 7 or len(out) == 1 and window > 1:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
-def smallest_names(h: np.ndarray, window: int) -> np.ndarray:
-    """For each window of the target length the smallest name of the half-length windows in it."""
-    short = names(h, half(window))
-    w = window - half(window) + 1
+def smallest_names(h: np.ndarray, length: int, window: int) -> np.ndarray:
+    """For each window of the target length the smallest name of the windows of `length` words in it."""
+    short = names(h, length)
+    w = window - length + 1
     n = len(short) - w + 1
     if n <= 0:
         return np.zeros(0, U)
@@ -77,12 +86,12 @@ def _digests(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _scan(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, d1, d2 (hashes of the words), n_words, and marks: the distinct smallest names."""
+def _scan(docs: DataFrame, length: int, window: int) -> DataFrame:
+    """doc_id, d1, d2 (hashes of the words), n_words, and marks: the distinct smallest names at this length."""
 
     def run(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch:
         w = words(text)
-        low = smallest_names(w.hashes, window)
+        low = smallest_names(w.hashes, length, window)
         d1, d2 = _digests(w)
         marks = [np.unique(low[a : b - window + 1]) if b - a >= window else low[:0] for a, b in _spans(w)]
         ends = np.cumsum([0, *map(len, marks)]).astype(np.int32)
@@ -92,27 +101,51 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(over_chunks(run), "doc_id long, d1 long, d2 long, n_words long, marks array<long>")
 
 
-def _mark_rows(scanned: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                lists = part.column(1)
-                size = np.diff(lists.offsets.to_numpy())
-                key = lists.flatten().to_numpy(zero_copy_only=False)
-                if len(key):
-                    yield marked(key, np.repeat(part.column(0).to_numpy(), size), np.zeros(len(key), np.int64))
+#: Marks that a task looks at together before it sends them, and rows of one batch that it sends.
+STRETCH, BATCH = 1 << 20, 1 << 16
+
+
+def _mark_rows(marks: DataFrame) -> DataFrame:
+    """Rows for repeated() from d1 and marks: of copies of a text that a stretch has, the marks of one."""
 
-    return scanned.where("n_words > 0").select("d1", "marks").mapInArrow(run, "key long, owner long, place long")
+    @tidy
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        size = 0
 
+        def told():
+            owner = np.repeat(np.array(list(held), np.int64), [len(x) for x in held.values()])
+            out = marked(np.concatenate(list(held.values())), owner, np.zeros(len(owner), np.int64))
+            held.clear()
+            for a in range(0, out.num_rows, BATCH):
+                yield out.slice(a, BATCH)
 
-def _with_digest(docs: DataFrame, carry: str) -> DataFrame:
+        for b in batches:
+            lists = b.column(1)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for d, p, q in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                if d not in held:
+                    held[d] = flat[p:q].copy()
+                    size += q - p
+                    if size >= STRETCH:
+                        yield from told()
+                        size = 0
+        if held:
+            yield from told()
+
+    return marks.mapInArrow(run, "key long, owner long, place long")
+
+
+def _with_digest(docs: DataFrame) -> DataFrame:
     def run(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch:
         d1, d2 = _digests(words(text))
-        more = [part.column(2)] if carry else []
-        return pa.RecordBatch.from_arrays([part.column(0), text, pa.array(d1), pa.array(d2), *more], names=["doc_id", "text", "d1", "d2", *(["carried"] if carry else [])])
+        return pa.RecordBatch.from_arrays([part.column(0), text, pa.array(d1), pa.array(d2), part.column(2)], names=["doc_id", "text", "d1", "d2", "carried"])
+
+    return docs.mapInArrow(over_chunks(run), _shape("doc_id long, text string, d1 long, d2 long", docs.schema["carried"]))
 
-    return docs.mapInArrow(over_chunks(run), "doc_id long, text string, d1 long, d2 long" + (f", carried {carry}" if carry else ""))
+
+def _shape(ddl: str, *more: StructField) -> StructType:
+    return StructType([*StructType.fromDDL(ddl).fields, *more])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
@@ -121,43 +154,61 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
     as fields of the struct `carried`."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = ""
-    with_more = own
-    if carry:
-        with_more = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*carry).alias("carried"))
-        kind = with_more.schema["carried"].dataType.simpleString()
-    scanned = scratch.save(_scan(own, window), "scan")
-
-    # level 1: smallest half-length names that several texts hold
-    held = repeated(_mark_rows(scanned), parts).groupBy(F.col("owner").alias("d1")).agg(F.collect_set("key").alias("marks"))
-    alive = scratch.save(held, "alive")
+    parts = partitions(docs, 4)
+    id_ = F.col("doc_id").cast("long")
+    rest = [c for c, name in zip(columns(docs), docs.columns) if name in (carry or ())]
+    with_more = docs.select(F.coalesce(id_, F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(id_.alias("id"), F.struct(F.lit(0), *rest).alias("row")).alias("carried"))
+    own = with_more.select("doc_id", "text")
+    every = levels(window)
+    scanned = scratch.save(_scan(own, every[0], window), "scan")
     # several texts of one id are told apart by d1
     texts = scratch.save(scanned.groupBy("d1", "d2").agg(F.min("doc_id").alias("lowest")), "texts")
+    dealt = _with_digest(with_more)  # its exchange serves both joins; AQE splits the partition of a much copied text
+
+    def survivors(low: np.ndarray, marks: pa.ListScalar) -> np.ndarray:
+        """Where candidates start whose smallest name several texts hold."""
+        return np.flatnonzero(np.isin(low.view(np.int64), marks.values.to_numpy(zero_copy_only=False)))
+
+    def candidates(alive: DataFrame) -> DataFrame:
+        """The text that stands for its copies, if it has candidates, with what survived."""
+        return dealt.join(texts.join(alive, "d1"), ["d1", "d2"]).where("doc_id = lowest").select("doc_id", "text", "d1", "marks")
+
+    def at_level(before: int, length: int) -> Callable:
+        def run(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch:
+            w = words(text)
+            low, now = smallest_names(w.hashes, before, window), smallest_names(w.hashes, length, window)
+            left = [np.unique(now[a + survivors(low[a : b - window + 1], part.column(3)[i])]) if b - a >= window else now[:0] for i, (a, b) in enumerate(_spans(w))]
+            ends = np.cumsum([0, *map(len, left)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([part.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(left).view(np.int64)))], names=["d1", "marks"])
+
+        return run
+
+    alive, marks = None, scanned.where("n_words > 0").select("d1", "marks")
+    for before, length in zip((0, *every), every[:-1]):
+        if alive is not None:
+            marks = candidates(alive).mapInArrow(over_chunks(at_level(before, length)), "d1 long, marks array<long>")
+        held = repeated(_mark_rows(marks), parts).groupBy(F.col("owner").alias("d1")).agg(F.collect_set("key").alias("marks"))
+        alive = scratch.save(held, f"alive-{length}")
+        if not alive.limit(1).count():
+            break
     scratch.drop(scanned)
 
-    # level 2: full names of the windows that survived, in the text that stands for its copies
-    dealt = _with_digest(with_more, kind)  # its exchange serves both joins; AQE splits the partition of a much copied text
-    todo = texts.join(alive, "d1")
-
     def extend(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch | None:
         w = words(text)
-        low, full = smallest_names(w.hashes, window), names(w.hashes, window)
-        ids, digests, marks = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3)
+        low, full = smallest_names(w.hashes, every[-2], window), names(w.hashes, window)
+        ids, digests = part.column(0).to_pylist(), part.column(2).to_pylist()
         keys, owners, places, texts = [], [], [], []
         for i, (a, b) in enumerate(_spans(w)):
             if b - a >= window:
-                alive_here = np.isin(low[a : b - window + 1].view(np.int64), marks[i].values.to_numpy(zero_copy_only=False))
-                at = np.flatnonzero(alive_here)
+                at = survivors(low[a : b - window + 1], part.column(3)[i])
                 keys.append(full[a + at])
                 owners.append(np.full(len(at), ids[i], np.int64))
                 places.append(at)
                 texts.append(np.full(len(at), digests[i], np.int64))
         return marked(*map(np.concatenate, (keys, owners, places, texts))) if keys else None
 
-    candidates = dealt.join(todo, ["d1", "d2"]).where("doc_id = lowest").select("doc_id", "text", "d1", "marks")
-    later = repeated(candidates.mapInArrow(over_chunks(extend), TEXT_SHAPE), parts, later=True)
+    # the last level: full names of the candidates that survived
+    later = repeated(candidates(alive).mapInArrow(over_chunks(extend), TEXT_SHAPE), parts, later=True)
     found = later.groupBy(F.col("owner").alias("lowest"), F.col("text").alias("d1")).agg(F.collect_list(F.col("place").cast("int")).alias("starts"))
     cuts = texts.join(found, ["lowest", "d1"], "left").select("d1", "d2", "lowest", "starts")
 
@@ -200,12 +251,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
 
     def cut_and_carry(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch:
         out = cut(part, text)
-        return pa.RecordBatch.from_arrays([*out.columns, part.column(4)], names=[*out.schema.names, "carried"]) if carry else out
+        return pa.RecordBatch.from_arrays([*out.columns, part.column(4)], names=[*out.schema.names, "carried"])
 
-    more = ["carried"] if carry else []
-    joined = dealt.join(cuts, ["d1", "d2"]).select("doc_id", "text", (F.col("doc_id") > F.col("lowest")).alias("copy"), "starts", *more)
-    out = joined.mapInArrow(over_chunks(cut_and_carry), "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, spans array<struct<word:int,n:int>>" + (f", carried {kind}" if carry else ""))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
+    joined = dealt.join(cuts, ["d1", "d2"]).select("doc_id", "text", (F.col("doc_id") > F.col("lowest")).alias("copy"), "starts", "carried")
+    out = joined.mapInArrow(over_chunks(cut_and_carry), _shape("doc_id long, n_words long, n_removed long, kept_sha256 string, text string, spans array<struct<word:int,n:int>>", dealt.schema["carried"]))
+    more = [F.col("carried.row").alias("carried")] if carry else []
+    return out.select(F.col("carried.id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "text", "spans", *more)
 
 
 def dedup_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -18,6 +18,31 @@ def test_matches_plain_version(spark, seed, window):
     assert told(substring.remove_repeats(plain.frame(spark, data), window)) == plain.substring(data, window)
 
 
+@pytest.mark.parametrize("window", [26, 50])
+def test_levels_double_up_to_the_target(spark, window):
+    r = np.random.default_rng(window)
+    passage = [f"p{i}" for i in range(120)]
+    word = lambda n: [f"w{x}" for x in r.integers(0, 10_000, n)]
+    data = [(i, " ".join([*word(30), *passage[i : i + int(n)], *word(9)])) for i, n in enumerate(r.integers(5, 90, 25))]
+    assert substring.levels(13) == [7, 13] and substring.levels(50) == [7, 13, 25, 50] and substring.levels(4) == [2, 4] and substring.levels(1) == [1]
+    assert all(b <= 2 * a for w in range(2, 99) for a, b in zip(substring.levels(w), substring.levels(w)[1:]))
+    for rows in (data, data[:1], [(i, " ".join(word(60))) for i in range(9)]):  # in the last two no candidate survives
+        assert told(substring.remove_repeats(plain.frame(spark, rows), window)) == plain.substring(rows, window)
+
+
+def test_other_columns_and_the_largest_id(spark):
+    long = " ".join(f"v{i}" for i in range(40))
+    inner = ["carried", "d1", "d2", "marks", "lowest", "starts", "copy", "key", "owner", "place", "id", "row", "spans", "n_removed", "a.b"]
+    data = [((1 << 63) - 1, long), (3, "x " + long), (None, long + " y"), (7, "alone")]
+    df = spark.createDataFrame([(i, t, *(f"{c}{k}" for c in inner)) for k, (i, t) in enumerate(data)], ["doc_id", "text", *inner])
+    assert told(substring.remove_repeats(df)) == plain.substring(data)
+    out = substring.dedup_documents(df)
+    kept = {r[0]: r for r in out.collect()}
+    assert out.columns == df.columns and set(kept) == {3, None, 7}
+    assert kept[3] == df.where("doc_id = 3").first() and tuple(kept[None][2:]) == tuple(df.where("doc_id is null").first()[2:]) and kept[None].text.strip() == "y"
+    assert substring.dedup_documents(df.limit(0)).collect() == []
+
+
 def test_null_and_empty(spark):
     long = " ".join(f"v{i}" for i in range(40))
     data = [(None, long), (4, long + " tail"), (9, "head " + long), (None, "short"), (4, long)]
