@@ -37,9 +37,11 @@ def test_similar_sets_share_a_signature_and_pass_the_sketch(percent):
     assert shared > 50
 
 
-@pytest.mark.parametrize("percent,k,block", [(80, 5, 1024), (90, 3, 1024), (80, 2, 3)])
-def test_matches_plain_version(spark, monkeypatch, percent, k, block):
+@pytest.mark.parametrize("percent,k,block,nearest", [(80, 5, 1024, 4), (90, 3, 1024, 1), (80, 2, 3, 1)])
+def test_matches_plain_version(spark, monkeypatch, percent, k, block, nearest):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "NEAREST", nearest)
+    monkeypatch.setattr(jaccard, "LONGER", 2)
     data = plain.rows(percent, 50)
     r = random.Random(k)
     base = [f"t{i}" for i in range(120)]
