@@ -1,13 +1,14 @@
 """License scans with a positional rare-token index, with DataFrame functions only.
 
-Each template has a label, the words of its usual notice, and a mandatory key phrase within them. One pass counts, over
-all documents, in how many each licence word occurs; each key phrase is then posted under its rarest words (the highest
-IDF) with their positions. A second pass looks up where those words stand in a text, intersects a template's postings by
-relative position - the other rare words must stand where the rarest one puts them - and then verifies the whole key
-phrase there. The score is the share of a notice's words that stand in place, the best of all matches.
+Each template has a label, the words of its usual notice, and a mandatory key phrase within them. One pass over the texts
+keeps the positions of words that stand in some notice, as a written table that is a small part of the input; all else
+works on it. It tells in how many documents each such word occurs; each template is then posted under the rarest word of
+its key phrase (the highest IDF), with positions. The index is an array by word, so a word finds its postings in one
+step, however many templates there are. Where that word stands in a text, a template's postings are intersected by
+relative position - its other rare words must stand where the rarest one puts them - and then the whole key phrase is
+verified there. The score is the share of a notice's words that stand in place, the best of all matches.
 
-All of it is local to a row: texts aren't shuffled, and the index is as small as the list of templates. A text's words
-are looked at once for each pass, whatever its source.
+All of it is local to a row: texts aren't shuffled, and the index is as small as the list of templates.
 
 Defined cases: a null text is empty: no words, no labels, score 0, first_word and last_word null; repeated rows and null
 ids give a row each; an empty table gives no rows; the result has doc_id and its own columns, so other columns can't
@@ -21,6 +22,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import Scratch
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -72,11 +75,25 @@ def text_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ"))), F.lit(WORD), F.lit(0))
 
 
-def document_frequency(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> dict[str, int]:
-    """Documents with each word of the key phrases; what comes back is as long as that list of words."""
-    vocabulary = sorted({w for t in templates for w in t.key.split()})
-    found = docs.select(F.explode(F.array_distinct(F.filter(text_words(F.col("text")), lambda w: w.isin(vocabulary)))).alias("word"))
-    return {w: 0 for w in vocabulary} | {r.word: r["count"] for r in found.groupBy("word").count().collect()}
+def vocabulary(templates: Sequence[Template]) -> list[str]:
+    """The words of all notices; a word's code is its place here."""
+    return sorted({w for t in templates for w in t.words})
+
+
+def hits(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
+    """doc_id, n_words and hits: at (position, ascending) and word (code) of the words that stand in a notice. The only look at the texts."""
+    known = vocabulary(templates)
+    codes = F.array(*map(F.lit, known))
+    found = F.filter(F.transform("words", lambda w, i: F.when(w.isin(known), F.struct(i.alias("at"), w.alias("w")))), lambda x: x.isNotNull())
+    coded = F.transform(found, lambda x: F.struct(x["at"].alias("at"), (F.array_position(codes, x.w) - 1).cast("int").alias("word")))
+    return docs.select("doc_id", text_words(F.col("text")).alias("words")).select("doc_id", F.size("words").cast("long").alias("n_words"), coded.alias("hits"))
+
+
+def document_frequency(found: DataFrame, templates: Sequence[Template] = TEMPLATES) -> dict[str, int]:
+    """Documents with each word of the notices, from hits(); what comes back is as long as that list of words."""
+    words = found.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x.word))).alias("word"))
+    known = vocabulary(templates)
+    return {w: 0 for w in known} | {known[r.word]: r["count"] for r in words.groupBy("word").count().collect()}
 
 
 def postings(templates: Sequence[Template], df: dict[str, int], rare: int = RARE) -> list[tuple[Template, list[tuple[str, int]]]]:
@@ -88,33 +105,56 @@ def postings(templates: Sequence[Template], df: dict[str, int], rare: int = RARE
     return out
 
 
-def _literal(index: list[tuple[Template, list[tuple[str, int]]]]) -> Column:
-    pair = lambda w, i: F.struct(F.lit(w).alias("w"), F.lit(i).alias("i"))
-    return F.array(*(
-        F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(rare[0][0]).alias("anchor"), F.lit(rare[0][1]).alias("at"), F.array(*(pair(*x) for x in rare)).alias("rare"), F.array(*(pair(w, t.offset + i) for i, w in enumerate(t.key.split()))).alias("key"), F.array(*(pair(w, i) for i, w in enumerate(t.words))).alias("notice"), F.lit(t.offset).alias("offset"))
-        for t, rare in index
-    ))
-
-
-def matches(words: Column, index: list[tuple[Template, list[tuple[str, int]]]]) -> Column:
-    """Array of label, base, word (where the key phrase starts) and score."""
-    anchors = sorted({rare[0][0] for _, rare in index})
-    places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(anchors), i)), lambda i: i.isNotNull())
-    stands = lambda at: lambda q: F.coalesce(F.get(words, at + q.i) == q.w, F.lit(False))
-
-    def here(i: Column) -> Column:
-        posted = F.filter(_literal(index), lambda t: t.anchor == F.get(words, i))
-        aligned = F.filter(posted, lambda t: F.forall(t.rare, stands(i - t["at"])))
-        verified = F.filter(aligned, lambda t: F.forall(t.key, stands(i - t["at"])))
-        return F.transform(verified, lambda t: F.struct(t.label.alias("label"), t.base.alias("base"), (i - t["at"] + t.offset).alias("word"), (F.size(F.filter(t.notice, stands(i - t["at"]))) / F.size(t.notice)).alias("score")))
+def _literal(index: list[tuple[Template, list[tuple[str, int]]]], code: dict[str, int]) -> Column:
+    """The index: for each word's code the templates of which it is the rarest word, with that word's position."""
+    pairs = lambda ws: F.array(*(F.struct(F.lit(code[w]).alias("w"), F.lit(i).alias("i")) for w, i in ws))
+    posted: dict[int, list[Column]] = {}
+    for t, rare in index:
+        posted.setdefault(code[rare[0][0]], []).append(
+            F.struct(
+                F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(rare[0][1]).alias("at"), pairs(rare).alias("rare"),
+                pairs((w, t.offset + i) for i, w in enumerate(t.key.split())).alias("key"), pairs((w, i) for i, w in enumerate(t.words)).alias("notice"), F.lit(t.offset).alias("offset"),
+            )
+        )
+    none = F.slice(F.array(*next(iter(posted.values()))), 1, 0)
+    return F.array(*(F.array(*posted[c]) if c in posted else none for c in range(len(code))))
+
+
+def matches(index: list[tuple[Template, list[tuple[str, int]]]], templates: Sequence[Template]) -> Column:
+    """Array of label, base, word (where the key phrase starts) and score, from the column hits.
+
+    Hits stand in the order of their positions, so the words of a phrase that stands in the text are neighbours there, and
+    all that stand within a notice's length of one are within as many neighbours."""
+    code = {w: i for i, w in enumerate(vocabulary(templates))}
+    anchors = sorted({code[rare[0][0]] for _, rare in index})
+    reach = max(len(t.words) for t in templates)
+    table = _literal(index, code)
+    places = F.filter(F.transform("hits", lambda x, j: F.when(x.word.isin(anchors), j)), lambda j: j.isNotNull())
+
+    def here(j: Column) -> Column:
+        place = F.get(F.col("hits"), j)["at"]
+
+        def stands(t: Column):
+            def one(q: Column) -> Column:
+                x = F.get(F.col("hits"), j + q.i - t["at"])
+                return F.coalesce((x["at"] == place + q.i - t["at"]) & (x["word"] == q.w), F.lit(False))
+
+            return one
+
+        near = F.slice("hits", F.greatest(j - reach, F.lit(0)) + 1, 2 * reach + 1)
+        in_place = lambda t: F.filter(t.notice, lambda q: F.exists(near, lambda x: (x["at"] == place + q.i - t["at"]) & (x.word == q.w)))
+        aligned = F.filter(F.get(table, F.get(F.col("hits"), j)["word"]), lambda t: F.forall(t.rare, stands(t)))
+        verified = F.filter(aligned, lambda t: F.forall(t.key, stands(t)))
+        return F.transform(verified, lambda t: F.struct(t.label.alias("label"), t.base.alias("base"), (place - t["at"] + t.offset).alias("word"), (F.size(in_place(t)) / F.size(t.notice)).alias("score")))
 
     return F.flatten(F.transform(places, here))
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, rare: int = RARE) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and matches (label, base, word, score)."""
-    index = postings(templates, document_frequency(docs, templates), rare)
-    found = docs.select("doc_id", text_words(F.col("text")).alias("words")).select("doc_id", F.size("words").cast("long").alias("n_words"), matches(F.col("words"), index).alias("matches"))
+    found = Scratch(docs.sparkSession, "licenses").save(hits(docs, templates), "hits")
+    index = postings(templates, document_frequency(found, templates), rare)
+    found = found.select("doc_id", "n_words", matches(index, templates).alias("matches"))
     base = F.filter("matches", lambda m: m.base)
     labels = lambda m: F.array_join(F.array_sort(F.array_distinct(F.transform(m, lambda x: x.label))), ",")
     starts = F.transform(base, lambda m: m.word)
