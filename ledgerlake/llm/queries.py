@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, compaction, fingerprints, jaccard, licenses, linededup, packing, quality, substring, warc
-from .common import Scratch, table
+from .common import Scratch, input_bytes, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -55,8 +55,7 @@ def arrivals(size: int) -> int:
 def op7_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = compaction.ShardStore(spark, Scratch(spark, "shards").path("store"))
     docs = table(spark, sf_dir, "documents")
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of its files
-    arrival = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(arrivals(size))).cast("int")
+    arrival = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(arrivals(input_bytes(docs)))).cast("int")
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars", arrival.alias("arrival"))
     store.append(docs, arrival)
     version = store.compact()

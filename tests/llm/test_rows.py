@@ -401,7 +401,7 @@ def test_warc_pages_that_are_broken_long_or_absent(spark):
     rows = warc.derivatives(warc.responses(pages), ("page_id",)).where("record_type = 'conversion'").collect()
     assert time.time() - began < 60
     got = {r.page_id: r.block for r in rows}
-    assert got[0] == "" and got[1] == "a < b " * (n - 1) + "a < b" and got[5] == "one two < three" and got[6] == "x" and got[7] == "y" and got[8] == "1\n 3 < 4"
+    assert got[0] == "" and got[1] == "a < b " * (n - 1) + "a < b" and got[5] == "one two < three" and got[6] == "x" and got[7] == "y" and got[8] == "1\n3 < 4"
     clash = warc.responses(pages).join(pages.select("page_id", "block"), "page_id")
     out = warc.derivatives(clash, ("page_id", "block", "record_id"))
     assert {(r.block_, r.record_type) for r in out.where("page_id = 5").collect()} == {("mine", "metadata"), ("mine", "conversion")}
