@@ -19,11 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import over_chunks, text_chunks
+from .common import bounded_batches, over_chunks, partitions, text_chunks, tidy
 from .textvec import U, mix, shingle_sets, words
 
-_NULL = -(1 << 63)
-
 
 @dataclass(frozen=True)
 class MinHash:
@@ -72,60 +70,111 @@ class MinHash:
         return out
 
 
-def fingerprint(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
-    """doc_id and fingerprint (binary) of each document."""
+@dataclass(frozen=True)
+class Order:
+    """The order of edited_pairs() - descending ids, null ids last, rows of one id by the hash of their text - cut into ranges.
+
+    ids, hashes: the cuts among rows with ids, as (~id, hash), ascending. nulls: the cuts among rows without, as hashes."""
+
+    ids: np.ndarray
+    hashes: np.ndarray
+    nulls: np.ndarray
+
+    @property
+    def count(self) -> int:
+        return len(self.ids) + len(self.nulls) + 2
 
-    def run(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(how.of_texts(text), pa.binary())], names=["doc_id", "fingerprint"])
+    def range_of(self, ids: np.ndarray, null: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        key = ~ids
+        low, high = np.searchsorted(self.ids, key, side="left"), np.searchsorted(self.ids, key, side="right")
+        out = high.copy()
+        for at in np.unique(low[high > low]).tolist():  # cuts within the rows of one id
+            own = (low == at) & (high > low)
+            out[own] = at + np.searchsorted(self.hashes[at : int(high[own][0])], hashes[own], side="right")
+        return np.where(null, len(self.ids) + 1 + np.searchsorted(self.nulls, hashes, side="right"), out).astype(np.int32)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(over_chunks(run), "doc_id long, fingerprint binary")
 
+def _hash_cuts(n: int) -> list[int]:
+    """What cuts all hashes into n equal parts."""
+    return [-(1 << 63) + (k << 64) // n for k in range(1, n)]
 
-def _bounds(ids: DataFrame, parts: int) -> list[int]:
-    """Ids that cut the table into about equal parts; as many as there are partitions."""
-    wanted = [i / parts for i in range(1, parts)]
-    return sorted({int(x) for x in ids.approxQuantile("id", wanted, 1 / (4 * parts))}) if wanted else []
+
+def order_of(own: DataFrame, parts: int) -> Order:
+    """About `parts` ranges of equal numbers of rows: by quantiles of the ids, and by hash within an id or null that has more rows than a range."""
+    told = own.agg(F.count("*").alias("n"), F.count("id").alias("with_id")).first()
+    each = max(1, -(-told.n // parts))
+    most = -(-told.with_id // each)
+    wanted = [i / most for i in range(1, most)]
+    cuts = sorted({int(~int(x)) for x in _quantiles(own, wanted, 1 / (4 * most))}) if wanted else []
+    heavy = {r.id: r["count"] for r in own.where("id is not null").groupBy("id").count().where(F.col("count") > each).collect()}  # at most `parts`
+    points = {(c, -(1 << 63)) for c in cuts} | {(~i, h) for i, n in heavy.items() for h in [-(1 << 63), *_hash_cuts(-(-n // each))]}
+    points = sorted(points)
+    nulls = _hash_cuts(max(1, -(-(told.n - told.with_id) // each)))
+    return Order(np.array([p for p, _ in points], np.int64), np.array([h for _, h in points], np.int64), np.array(nulls, np.int64))
+
+
+def _quantiles(own: DataFrame, wanted: list[float], error: float) -> list[int]:
+    """Ids at these shares; percentile_approx keeps longs as they are."""
+    row = own.agg(F.percentile_approx("id", wanted, int(1 / error)).alias("q")).first()
+    return row.q or []
 
 
 def edited_pairs(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     """Per document doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex), near_edited, near_next: see the module.
 
-    Texts are shuffled once, into ranges of ids; the first document of a range goes to the range before it as well, so
-    that each finds the next one in its own task."""
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = np.array(_bounds(own.select("id"), parts), np.int64)
-
+    Texts are shuffled once, into ranges of the order, a partition each; the first document of a range goes to the range
+    before it as well, so that each finds the next one in its own task."""
+    bounded_batches(docs.sparkSession)
+    parts = partitions(docs, 2)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    order = order_of(own, parts)
+
+    def places(part: pa.RecordBatch, id_: int, hash_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        null = part.column(id_).is_null().to_numpy(zero_copy_only=False)
+        ids = part.column(id_).fill_null(0).to_numpy()
+        hashes = part.column(hash_).to_numpy()
+        return ids, null, hashes, order.range_of(ids, null, hashes)
+
+    @tidy
     def tops(batches):
-        top: dict[int, int] = {}
+        """The first row of each range."""
+        top: dict[int, tuple[bool, int, int]] = {}
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for k, i in zip(np.searchsorted(bounds, ids).tolist(), ids.tolist()):
-                top[k] = max(i, top.get(k, i))
-        yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int32()), pa.array(list(top.values()), pa.int64())], names=["range", "id"])
-
-    highest = {r["range"]: r.id for r in own.select("id").mapInArrow(tops, "range int, id long").groupBy("range").agg(F.max("id").alias("id")).collect()}
-    order = sorted(highest, reverse=True)
-    guest_of = {highest[k]: before for before, k in zip(order, order[1:] + order[:1])}
+            ids, null, hashes, at = places(b, 0, 1)
+            first = np.lexsort((hashes, ~ids, at))
+            first = first[np.r_[True, at[first][1:] != at[first][:-1]]] if len(first) else first
+            for i in first.tolist():
+                x = (bool(null[i]), int(~ids[i]), int(hashes[i]))
+                top[int(at[i])] = min(x, top.get(int(at[i]), x))
+        rows = [(k, *x) for k, x in top.items()]
+        kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["range", "null", "key", "hash"])
+
+    found = own.select("id", "hash").mapInArrow(tops, "range int, null boolean, key long, hash long").groupBy("range").agg(F.min(F.struct("null", "key", "hash")).alias("top")).collect()
+    first = {r["range"]: tuple(r.top) for r in found}  # one for each range
+    present = sorted(first)
+    # rows like the first one of a range, and the range before it, where they are guests
+    guest_of = {first[k]: before for before, k in zip(present, present[1:] + present[:1])}
 
     def deal(part: pa.RecordBatch, text: pa.StringArray) -> pa.RecordBatch:
-        ids = part.column(0).to_numpy()
-        twice = [i for i, x in enumerate(ids.tolist()) if x in guest_of]
-        take = pa.array([*range(len(ids)), *twice])
-        ranges = np.r_[np.searchsorted(bounds, ids), [guest_of[ids[i]] for i in twice]].astype(np.int32)
+        ids, null, hashes, at = places(part, 0, 2)
+        twice = [(i, guest_of[x]) for i, x in enumerate(zip(null.tolist(), (~ids).tolist(), hashes.tolist())) if x in guest_of]
+        take = pa.array([*range(len(ids)), *(i for i, _ in twice)], pa.int64())
+        ranges = np.r_[at, np.array([k for _, k in twice], np.int32)].astype(np.int32)
         guest = np.r_[np.zeros(len(ids), bool), np.ones(len(twice), bool)]
-        return pa.RecordBatch.from_arrays([part.column(0).take(take), text.take(take), pa.array(ranges), pa.array(guest)], names=["id", "text", "range", "guest"])
+        return pa.RecordBatch.from_arrays([part.column(0).take(take), text.take(take), part.column(2).take(take), pa.array(ranges), pa.array(guest)], names=["id", "text", "hash", "range", "guest"])
 
-    dealt = own.mapInArrow(over_chunks(deal), "id long, text string, range int, guest boolean").repartition(parts, "range").sortWithinPartitions("range", "guest", F.desc("id"), F.xxhash64("text"))
+    dealt = own.mapInArrow(over_chunks(deal), "id long, text string, hash long, range int, guest boolean").repartitionById(order.count, "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("id"), "hash")
 
+    @tidy
     def pair(batches):
-        left = None  # (range, id, text, fingerprint) of the row that waits for its next
+        left = None  # (range, id, text, fingerprint, guest) of the row that waits for its next
         for batch in batches:
             for part, text in text_chunks(batch):
                 prints = how.of_texts(text)
                 rows = [] if left is None else [left]
-                rows += zip(part.column(2).to_pylist(), part.column(0).to_pylist(), text.to_pylist(), prints, part.column(3).to_pylist())
+                rows += zip(part.column(3).to_pylist(), part.column(0).to_pylist(), text.to_pylist(), prints, part.column(4).to_pylist())
                 todo = [(a, b) for a, b in zip(rows, rows[1:]) if not a[4] and a[0] == b[0]]
                 left = rows[-1]
                 if not todo:
@@ -134,7 +183,7 @@ def edited_pairs(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
                 marks = how.of_texts(pa.array(edited, pa.string()))
                 mine, following = [a[3] for a, _ in todo], [b[3] for _, b in todo]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([None if a[1] == _NULL else a[1] for a, _ in todo], pa.int64()), pa.array([len(a[2]) for a, _ in todo], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
+                    pa.array([a[1] for a, _ in todo], pa.int64()), pa.array([len(a[2]) for a, _ in todo], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
                     pa.array([m.hex() for m in mine]), pa.array([m.hex() for m in marks]), pa.array(how.likeness(mine, marks)), pa.array(how.likeness(mine, following)),
                 ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
