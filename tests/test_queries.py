@@ -94,3 +94,10 @@ def test_codecs_refuse_what_breaks_a_rule(spark):
     ).first()
     assert [(bytes(e.key), bytes(e["value"])) for e in told.good["items"]] == [(b"a", b"1"), (b"b", b"")] and told.empty["items"] == [] and [bytes(k) for k in told.framed] == [b"a", b"", b"b"]
     assert all(told[c] is None for c in ("order", "longer", "count", "kind", "large", "short", "commit", "checkpoint", "keys", "space"))
+
+
+def test_forged_commits_differ_and_are_made_once_a_row(spark, tmp_path):
+    spark.createDataFrame([(2,), (7,), (836797,)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))  # the hash of the last one's commit ends with 00FF
+    found = registry.queries()["I2_commit_hash"](spark, str(tmp_path))
+    assert sorted(r.x for r in found.collect()) == [7, 836797]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sha2(") < 10
