@@ -13,6 +13,8 @@ MAGIC = b"LLC1"
 FRAME_KINDS = 6
 NO_RECORD = (1 << 63) - 1
 
+#: Numbers that the count of a node can say; of larger counts it has the low bytes.
+COUNTS = 1 << 16
 #: Items that are gathered at a time.
 BLOCK = 64
 
@@ -72,7 +74,7 @@ def encode_leaf(namespace: Column, entries: Column) -> Column:
 def encode_internal(namespace: Column, children: Column) -> Column:
     """An inner node of sorted children (first_key, slot, hash)."""
     one = lambda c: F.concat(le(F.octet_length(c.first_key), 2), F.hex(c.first_key), le(c.slot, 8), F.hex(c.hash))
-    return F.unhex(F.concat(F.lit("01"), le(namespace, 1), le(F.size(children), 2), F.array_join(F.transform(children, one), "")))
+    return let(children, lambda all_: F.unhex(F.concat(F.lit("01"), le(namespace, 1), le(F.size(all_), 2), F.array_join(F.transform(all_, one), ""))))
 
 
 def _parsed(b: Column, start: int, least: int, kind: str, step) -> Column:
@@ -112,7 +114,7 @@ def _rising(items: Column, key: str) -> Column:
 def _node(node: Column, kind: bytes, least: int, shape: str, step, key: str) -> Column:
     def told(b: Column) -> Column:
         items = _rising(_parsed(b, 4, least, shape, step), key)
-        counted = lambda every: F.when(F.size(every) == _int(b, F.lit(2), 2), F.struct(_int(b, F.lit(1), 1).alias("namespace"), every.alias("items")))
+        counted = lambda every: F.when(F.size(every) % COUNTS == _int(b, F.lit(2), 2), F.struct(_int(b, F.lit(1), 1).alias("namespace"), every.alias("items")))
         return F.when((F.octet_length(b) >= 4) & (F.substring(b, 1, 1) == F.lit(kind)), let(items, counted))
 
     return let(node, told)

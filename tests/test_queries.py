@@ -101,3 +101,19 @@ def test_forged_commits_differ_and_are_made_once_a_row(spark, tmp_path):
     found = registry.queries()["I2_commit_hash"](spark, str(tmp_path))
     assert sorted(r.x for r in found.collect()) == [7, 836797]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("sha2(") < 10
+
+
+def test_wide_inner_nodes_come_back_whole(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlake.functions import codecs as C, scalar as S
+
+    child = lambda i: F.struct(S.big_endian(i).alias("first_key"), (i * 3).alias("slot"), F.unhex(F.sha2(i.cast("string"), 256)).alias("hash"))
+    given = spark.range(1, 66_001).where(F.col("id").isin(1, 63, 64, 65, 129, 66_000)).select("id", F.transform(F.sequence(F.lit(1).cast("long"), "id"), child).alias("c"))
+    node = given.select("*", C.encode_internal(F.lit(5), F.col("c")).alias("node")).localCheckpoint()
+    back = node.select("id", F.octet_length("node"), C.decode_internal(F.col("node")).eqNullSafe(F.struct(F.lit(5).cast("long").alias("namespace"), F.col("c").alias("items"))))
+    assert sorted(map(tuple, back.collect())) == [(n, 4 + 50 * n, True) for n in (1, 63, 64, 65, 129, 66_000)]
+    broken = [F.expr("substring(node, 1, octet_length(node) - 1)"), F.expr("substring(node, 1, octet_length(node) - 50)"), F.concat("node", F.expr("substring(node, 5, 50)"))]
+    told = node.where("id < 100").select(*(C.decode_internal(b) for b in broken))
+    assert {tuple(r) for r in told.collect()} == {(None, None, None)}
+    assert node.select(C.decode_internal(F.col("node")))._jdf.queryExecution().analyzed().toString().count("node#") < 5
