@@ -68,7 +68,7 @@ def decode_frame(frame: Column) -> Column:
 def encode_leaf(namespace: Column, entries: Column) -> Column:
     """A leaf of sorted entries (key, value)."""
     one = lambda e: F.concat(le(F.octet_length(e.key), 2), F.hex(e.key), le(F.octet_length(e.value), 4), F.hex(e.value))
-    return F.unhex(F.concat(F.lit("00"), le(namespace, 1), le(F.size(entries), 2), F.array_join(F.transform(entries, one), "")))
+    return let(entries, lambda all_: F.unhex(F.concat(F.lit("00"), le(namespace, 1), le(F.size(all_), 2), F.array_join(F.transform(all_, one), ""))))
 
 
 def encode_internal(namespace: Column, children: Column) -> Column:

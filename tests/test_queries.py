@@ -117,3 +117,19 @@ def test_wide_inner_nodes_come_back_whole(spark):
     told = node.where("id < 100").select(*(C.decode_internal(b) for b in broken))
     assert {tuple(r) for r in told.collect()} == {(None, None, None)}
     assert node.select(C.decode_internal(F.col("node")))._jdf.queryExecution().analyzed().toString().count("node#") < 5
+
+
+def test_leaves_of_any_entries_come_back_whole(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlake.functions import codecs as C
+
+    entry = lambda i: F.struct(F.lpad(i.cast("string"), 5, "0").cast("binary").alias("key"), F.repeat(F.lit("v"), (i % 300).cast("int")).cast("binary").alias("value"))
+    given = spark.range(1, 1_001).where(F.col("id").isin(1, 64, 1_000)).select("id", F.transform(F.sequence(F.lit(1).cast("long"), "id"), entry).alias("e"))
+    node = given.select("*", C.encode_leaf(F.lit(3), F.col("e")).alias("node")).localCheckpoint()
+    back = node.select("id", C.decode_leaf(F.col("node")).eqNullSafe(F.struct(F.lit(3).cast("long").alias("namespace"), F.col("e").alias("items"))))
+    assert sorted(map(tuple, back.collect())) == [(n, True) for n in (1, 64, 1_000)]
+    assert node.select(C.decode_leaf(F.col("node")))._jdf.queryExecution().analyzed().toString().count("node#") < 5
+    # a value said to have 2**32 - 1 bytes, one byte too few, a second entry that the count doesn't have
+    broken = spark.createDataFrame([(bytearray.fromhex(h),) for h in ("0003010001006BFFFFFFFF", "0003010001006B0200000061", "0003010001006B000000000100790000000000")], "node binary")
+    assert [r.d for r in broken.select(C.decode_leaf(F.col("node")).alias("d")).collect()] == [None] * 3
